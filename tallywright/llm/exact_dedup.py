@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .runtime import cut, table
 
 SALTS = 16
+JOIN_SALTS = 8
 
 
 def sha256(text: Column) -> Column:
@@ -43,8 +44,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merged = salted.groupBy("_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
     # Rows of one digest with different texts: told apart without another pass over the texts.
     winners = cut(merged.select("_digest", "_keep", "_n"))
-    by_digest = winners.groupBy("_digest").agg(F.max("_keep").alias("_keep"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
-    found = rows.select("_id", "_digest").join(by_digest, "_digest")
+    by_digest = winners.groupBy("_digest").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_all"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
+    # A hot group's rows are dealt over salts, and its winner goes to each; a lone row's winner only to its own.
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(JOIN_SALTS)).cast("int")
+    every = F.when(F.col("_all") == 1, F.array(own("_keep"))).otherwise(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
+    found = rows.select("_id", "_digest", own("_id").alias("_salt")).join(by_digest.withColumn("_salt", F.explode(every)), ["_digest", "_salt"])
     if not by_digest.where("_texts > 1").isEmpty():
         clashing = by_digest.where("_texts > 1").select("_digest")
         again = rows.join(clashing, "_digest", "left_semi")

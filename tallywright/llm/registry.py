@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact_dedup.query,
+        "op10_toxicity": toxicity.query,
     }
 
 

@@ -24,6 +24,10 @@ LOWER_ASCII[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes outside letters, digits and multi-byte characters.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -51,6 +55,16 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and the capital letters of Latin-1, in UTF-8."""
+    out = LOWER_ASCII[data]
+    after = np.zeros(len(out), dtype=bool)
+    after[1:] = data[:-1] == 0xC3
+    after &= (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    out[after] += 32
+    return out
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,12 +88,13 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after the last, row) of each run of non-white bytes."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, row) of each run of bytes that aren't
+    in ``between``, by default white space."""
     if len(data) == 0:
         none = np.empty(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets[:-1]] = True
     begin = inside.copy()
