@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, toxicity
+from . import exact_dedup, jaccard_join, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact_dedup.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op10_toxicity": toxicity.query,
     }
 

@@ -124,7 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = LOWER
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each run of ``k`` words; a row of fewer words has one
     shingle, its whole sequence; a row without words has none."""
-    seeds = [_WEIGHTS[i % 4] * np.uint64(2 * i + 1) for i in range(k)]
+    seeds = [np.uint64(int(_WEIGHTS[i % 4]) * (2 * i + 1) % (1 << 64)) for i in range(k)]
     n = len(hashes) - k + 1
     if n > 0:
         inside = rows[: n] == rows[k - 1 :]
