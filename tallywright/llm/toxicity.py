@@ -24,7 +24,7 @@ from . import textkernel as tk
 from .runtime import bucket, table
 
 #: Most texts of each kind that a model is fitted on, and the longest of them.
-SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 3000, 9000, 40_000
+SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 2000, 5000, 30_000
 FEATURES = 4096
 CUE_SHARE = 0.01
 BEGINNINGS = (4, 5, 6)
