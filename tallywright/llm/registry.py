@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, jaccard_join, language_id, toxicity
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact_dedup.query,
+        "op4_decontaminate": decontaminate.query,
         "op6_language_id": language_id.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_chat_format": chat_format.query,
