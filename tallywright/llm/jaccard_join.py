@@ -14,7 +14,9 @@ Which pairs are counted:
   among the first ``n - ceil(0.85 n) + 1`` of either in the global order. Such
   pairs are found in posting lists sorted by set size, by size and position
   bounds, and only between different components, since a link inside one
-  changes nothing. So a large group of near copies costs no quadratic work.
+  changes nothing. So a large group of near copies costs no quadratic work;
+* odd sketches, two bits for a shingle, prove of most pairs that too many
+  shingles differ; only the others are counted.
 
 Sets are compared by 64-bit hashes: two sets of n shingles are misjudged by a
 collision with a chance of about n^2 / 2^64.
@@ -114,13 +116,47 @@ class GlobalOrder:
         return (level << np.uint64(64 - LEVEL_BITS)) | (hashes >> np.uint64(LEVEL_BITS))
 
 
+def parity(own: np.ndarray) -> bytes:
+    """Odd sketch of a set: bit i tells whether an odd number of its members
+    fall to place i; at least two places for a member."""
+    bits = max(64, 1 << int(2 * len(own)).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """At most the size of the symmetric difference of two sets, from their odd
+    sketches: each differing place has a member that only one set has."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def screened(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``pairs`` without those whose odd sketches prove that too many members
+    differ. Loses no link: the sketches give a lower bound."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            most = (na + nb) * (100 - percent) // (100 + percent)
+            apart = np.array([differing(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], dtype=np.int64)
+            yield batch.filter(pa.array(apart <= most)).select(["a", "b", "na", "nb"])
+
+    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("parity").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("parity").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long")
+
+
 def signatures(docs: DataFrame, shared, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, set size, digest of the set, hub keys and prefix of every row."""
 
     def run(batches):
         order = shared.value
         for batch in batches:
-            sizes, digests, hubs, prefixes = [], [], [], []
+            sizes, digests, hubs, prefixes, parities = [], [], [], [], []
             for _, n, value, at in _sets(batch, words):
                 bins = np.full(n * 2 * HUBS, np.iinfo(np.uint64).max, dtype=np.uint64)
                 turned = tk.mix(value + np.uint64(0x632BE59BD9B4E019))
@@ -132,9 +168,10 @@ def signatures(docs: DataFrame, shared, words: int = WORDS, percent: int = PERCE
                     sizes.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     prefixes.append(own[: len(own) - (percent * len(own) + 99) // 100 + 1].tobytes() if len(own) else b"")
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "hubs": pa.array(hubs, pa.list_(pa.int64())), "prefix": pa.array(prefixes, pa.binary())})
+                    parities.append(parity(own))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "hubs": pa.array(hubs, pa.list_(pa.int64())), "prefix": pa.array(prefixes, pa.binary()), "parity": pa.array(parities, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id long, n long, digest binary, hubs array<long>, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id long, n long, digest binary, hubs array<long>, prefix binary, parity binary")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, shared, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -254,17 +291,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = cut(signatures(docs, shared, words, percent))
     known = rows.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    nodes = cut(known.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "hubs", "prefix"))
+    nodes = cut(known.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "hubs", "prefix", "parity"))
 
     buckets = nodes.select("id", "n", F.explode("hubs").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     starred = buckets.join(hubs, "bucket").where("id <> hub.id").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
     first = cut(starred.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct())
-    links = cut(linked(first, docs, shared, words, percent))
+    sketches = nodes.select("id", "parity")
+    links = cut(linked(cut(screened(first, sketches, percent)), docs, shared, words, percent))
     labels = connected(links)
 
     labelled = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    second = cut(prefix_pairs(labelled, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    second = cut(screened(prefix_pairs(labelled, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), sketches, percent))
     more = linked(second, docs, shared, words, percent)
     labels = connected(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
 
