@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, toxicity
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, sentencepieces, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepieces.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_decontaminate": decontaminate.query,
         "op6_language_id": language_id.query,
