@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ORACLES, REGISTRY
+from . import ORACLES, REGISTRY, judgments, runs  # noqa: F401  (registers)
 
 
 def queries() -> dict:
