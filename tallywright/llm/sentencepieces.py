@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from . import textkernel as tk
 from .runtime import table
 
 DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, CHUNK_BYTES, CACHE = 2, 3 << 20, 200_000
+SAMPLES, CHUNK_BYTES, CACHE = 2, 3 << 20, 300_000
 #: Siblings whose log-probability is below this can't be reached: a Gumbel of such height has a chance of about e**-40.
 DEEPEST = -40.0
 SPACE = "▁"
@@ -78,7 +80,7 @@ class PieceModel:
         self.hit = np.zeros(1 << 20, dtype=bool)
         self.hit[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.lone_space = [self.library.piece_to_id(SPACE)]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -104,17 +106,16 @@ class PieceModel:
     def _learn(self, units: list[str]) -> None:
         new = [u for u in units if u not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = units
+            self.known = {u: self.known[u] for u in units if u in self.known}
         for unit, ids in zip(new, self.library.encode([u.replace(SPACE, " ") for u in new], num_threads=1), strict=True):
-            self.known[unit] = (ids[1:] if unit[0] == "\n" else ids) if unit else self.lone_space
+            self.known[unit] = array("i", (ids[1:] if unit[0] == "\n" else ids) if unit else self.lone_space).tobytes()
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units, end to end, and where each begins."""
         self._learn(units)
-        found = [self.known[u] for u in units]
-        begins = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-        return np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(begins[-1])), begins
+        found = list(map(self.known.__getitem__, units))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        return np.frombuffer(b"".join(found), dtype=np.int32), np.concatenate(([0], np.cumsum(sizes)))
 
     def repaired(self, ids: np.ndarray, text: str) -> np.ndarray:
         """With the bytes of U+2581 in place of its stand-in's."""
@@ -159,8 +160,7 @@ class Lattice:
         inner = np.flatnonzero(~self.terminal[:n])
         char[inner] = codes
         end = np.repeat(ends, sizes + 1)
-        weight = np.full((most, n + most + 1), -np.inf, dtype=np.float32)
-        piece = np.zeros((most, n), dtype=np.int32)
+        hits = []
         at, h = inner, np.zeros(len(inner), dtype=np.uint64)
         for size in range(1, most + 1):
             fits = at + size <= end[at]
@@ -170,8 +170,12 @@ class Lattice:
             near = np.flatnonzero(model.hit[(key >> np.uint64(44)).astype(np.int64)])
             j = np.searchsorted(model.keys, key[near]).clip(max=len(model.keys) - 1)
             same = model.keys[j] == key[near]
-            rows, j = at[near[same]], j[same]
-            weight[size - 1, rows], piece[size - 1, rows] = model.weights[j], model.ids[j]
+            hits.append((at[near[same]], j[same]))
+        most = max([size for size, (rows, _) in enumerate(hits, 1) if len(rows)], default=1)  # of the pieces that occur
+        weight = np.full((most, n + most + 1), -np.inf, dtype=np.float32)
+        piece = np.zeros((most, n), dtype=np.int32)
+        for size, (rows, j) in enumerate(hits[:most]):
+            weight[size, rows], piece[size, rows] = model.weights[j], model.ids[j]
         bare = inner[np.isneginf(weight[0, inner])]
         wide = 1 + (char[bare] >= 0x80).astype(int) + (char[bare] >= 0x800) + (char[bare] >= 0x10000)
         weight[0, bare] = wide * model.byte_weight
@@ -228,26 +232,39 @@ class Lattice:
         order = np.argsort(which, kind="stable")
         return which[order], at[order], size[order]
 
-    def open_siblings(self, at: np.ndarray, size: np.ndarray, before: float, bound: float, seed: int, many: int) -> list[tuple]:
-        """Along a path below a node of log-probability ``before`` and perturbed
-        value ``bound``, the siblings of each step together are one node. The
-        ``many`` best of them: (-value, place, log-probability before it)."""
-        best, done, now = [], 0, before
-        while done < len(at) and now > DEEPEST:
-            states, own = at[done : done + 512], size[done : done + 512]
-            taken = self.log[states, own].astype(np.float64)
-            sums = now + np.concatenate(([0.0], np.cumsum(taken)))
-            keep = max(1, int(np.searchsorted(-sums[:-1], -DEEPEST)))
-            states, own, taken = states[:keep], own[:keep], taken[:keep]
-            with np.errstate(divide="ignore"):
-                rest = np.where(own == self.top[states], self.others[states], np.log1p(-np.exp(np.minimum(taken, 0))))
-            log = sums[:keep] + rest
-            u = uniform(np.uint64(seed) + np.arange(done + 1, done + 1 + keep, dtype=np.uint64) * _BASE)
-            value = log - np.log(np.exp(np.minimum(log - bound, 700)) - np.log(u))
-            order = np.argpartition(-value, many - 1)[:many] if keep > many else range(keep)
-            best += [(-float(value[i]), done + int(i), float(sums[i])) for i in order if log[i] > -np.inf]
-            now, done = float(sums[-1]), done + 512
-        return sorted(best)[:many]
+    def open_siblings(self, paths: list[tuple], before: np.ndarray, bound: np.ndarray, seeds: np.ndarray, many: int) -> list[list[tuple]]:
+        """Along each path (states, lengths - 1) below a node of log-probability
+        ``before`` and perturbed value ``bound``, the siblings of each step
+        together are one node. The ``many`` best of each path: (-value, place,
+        log-probability before it)."""
+        out: list[list[tuple]] = [[] for _ in paths]
+        sizes = np.array([len(p[0]) for p in paths], dtype=np.int64)
+        if not sizes.sum():
+            return out
+        at, size = (np.concatenate([p[i] for p in paths]) for i in (0, 1))
+        path = np.repeat(np.arange(len(paths)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        taken = self.log[at, size].astype(np.float64)
+        sums = np.cumsum(taken) - taken
+        sums += (before - sums[np.minimum(starts, len(sums) - 1)])[path]
+        keep = np.flatnonzero(sums > DEEPEST)
+        at, size, path, taken, sums = at[keep], size[keep], path[keep], taken[keep], sums[keep]
+        with np.errstate(divide="ignore"):
+            rest = np.where(size == self.top[at], self.others[at], np.log1p(-np.exp(np.minimum(taken, 0))))
+        log = sums + rest
+        place = keep - starts[path]
+        u = uniform(seeds[path] + (place + 1).astype(np.uint64) * _BASE)
+        value = np.where(log > -np.inf, log - np.log(np.exp(np.minimum(log - bound[path], 700)) - np.log(u)), -np.inf)
+        first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+        for _ in range(many):
+            if not len(path):
+                break
+            best = np.repeat(np.maximum.reduceat(value, first), np.diff(np.append(first, len(path))))
+            for i in np.flatnonzero((value == best) & (value > -np.inf)).tolist():
+                if len(out[path[i]]) < many:
+                    out[path[i]].append((-float(value[i]), int(place[i]), float(sums[i])))
+            value = np.where(value == best, -np.inf, value)
+        return out
 
     def split(self, state: int, chosen: int, before: float, bound: float, seed: int) -> tuple[int, float, list[tuple]]:
         """Of the siblings of ``chosen``, the one that has their common value
@@ -279,13 +296,11 @@ def uniform32(x: np.ndarray) -> np.ndarray:
 def segment_chunk(model: PieceModel, texts: list[str], keys: np.ndarray, samples: int) -> list[list[tuple]]:
     """For each text its encoding, then its sampled segmentations:
     (ids, log_prob, perturbed, log_inclusion), the latter three None for the encoding."""
-    place: dict[str, int] = {}
-    occurrences, counts = [], []
-    for text in texts:
-        units = model.units(text)
-        counts.append(len(units))
-        occurrences += [place.setdefault(u, len(place)) for u in units]
-    units, occ = list(place), np.array(occurrences, dtype=np.int64)
+    by_text = list(map(model.units, texts))
+    counts = list(map(len, by_text))
+    units = list(dict.fromkeys(chain.from_iterable(by_text)))
+    place = dict(zip(units, range(len(units)), strict=True))
+    occ = np.fromiter(map(place.__getitem__, chain.from_iterable(by_text)), dtype=np.int64, count=sum(counts))
     bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     flat, begins = model.encode_units(units)
     sizes = np.diff(begins)[occ] if len(occ) else np.empty(0, np.int64)
@@ -333,22 +348,24 @@ def _sample(model: PieceModel, lattice: Lattice, occ: np.ndarray, bounds: np.nda
         which, at, size = lattice.walk(states[some], tk.mix(seeds[doc[some]] + number[some].astype(np.uint64) * _BASE))
         which = some[which]
         cuts = np.searchsorted(which, bounds)
-        for d in range(n):
-            if nodes[d] is None:
-                continue
-            value, parent, place, chosen, before = nodes[d]
+        active = [d for d in range(n) if nodes[d] is not None]
+        fresh = dict.fromkeys(active, 0)
+        for d in active:
+            value, parent, step, chosen, before = nodes[d]
             path = tuple(x[cuts[d] : cuts[d + 1]] for x in (which, at, size))
-            fresh = 0
             if parent is not None:
                 old = leaves[d][parent][0]
-                fresh = place + 1
-                head = [x[:fresh].copy() for x in old]
-                head[2][place] = chosen
+                fresh[d] = step + 1
+                head = [x[: step + 1].copy() for x in old]
+                head[2][step] = chosen
                 path = tuple(np.concatenate(x) for x in zip(head, path, strict=True))
-            log = float(lattice.log[path[1], path[2]].sum(dtype=np.float64))
-            leaves[d].append((path, log, value))
-            for v, p, lg in lattice.open_siblings(path[1][fresh:], path[2][fresh:], before, value, int(seeds[d] ^ np.uint64(0xA5A5A5A5)), samples + 1):
-                heapq.heappush(frontier[d], (v, fresh + p, -1, lg, len(leaves[d]) - 1))
+            leaves[d].append((path, float(lattice.log[path[1], path[2]].sum(dtype=np.float64)), value))
+        tails = [tuple(x[fresh[d] :] for x in leaves[d][-1][0][1:]) for d in active]
+        values, befores = (np.array([nodes[d][i] for d in active], dtype=np.float64) for i in (0, 4))
+        opened = lattice.open_siblings(tails, befores, values, seeds[active] ^ np.uint64(0xA5A5A5A5), samples + 1)
+        for d, found in zip(active, opened, strict=True):
+            for v, step, log in found:
+                heapq.heappush(frontier[d], (v, fresh[d] + step, -1, log, len(leaves[d]) - 1))
     for d in range(n):
         kappa = -frontier[d][0][0] if frontier[d] else -np.inf
         for path, log, value in leaves[d]:
