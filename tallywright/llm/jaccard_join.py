@@ -9,11 +9,11 @@ Which pairs are counted:
 
 * documents with equal sets are one class, represented by its smallest id;
 * first, each representative is paired with the hubs of four min-hash buckets,
-  a number of pairs linear in the documents; the links found make components;
+  a number of pairs linear in the documents; the links found give labels;
 * then the rest, without loss: two sets of this similarity share a shingle
   among the first ``n - ceil(0.85 n) + 1`` of either in the global order. Such
   pairs are found in posting lists sorted by set size, by size and position
-  bounds, and only between different components, since a link inside one
+  bounds, and only between different labels, since a link inside a component
   changes nothing. So a large group of near copies costs no quadratic work;
 * odd sketches, two bits for a shingle, prove of most pairs that too many
   shingles differ; only the others are counted.
@@ -276,6 +276,15 @@ def prefix_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long, na long, nb long").distinct()
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """(id, label) with the smallest id within two links. Equal labels mean one
+    component, but a component may have several: enough to skip pairs."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    two = both.join(one.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    return two.withColumnRenamed("a", "id")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles (size of
     its set) and component_id (smallest doc_id reachable by links, itself
@@ -298,13 +307,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     starred = buckets.join(hubs, "bucket").where("id <> hub.id").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
     first = cut(starred.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct())
     sketches = nodes.select("id", "parity")
-    links = cut(linked(cut(screened(first, sketches, percent)), docs, shared, words, percent))
-    labels = connected(links)
-
-    labelled = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    links = cut(linked(cut(screened(first, sketches, percent)), docs, shared, words, percent).select("a", "b"))
+    labelled = nodes.join(near_labels(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
     second = cut(screened(prefix_pairs(labelled, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), sketches, percent))
     more = linked(second, docs, shared, words, percent)
-    labels = connected(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
+    labels = connected(links.unionByName(more.select("a", "b")))
 
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
