@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, sentencepieces, toxicity
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, licenses, lm_scoring, packing, sentencepieces, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sentencepieces.query,
+        "op2_packing": packing.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_decontaminate": decontaminate.query,
+        "op5_license_scan": licenses.query,
         "op6_language_id": language_id.query,
+        "op7_lm_scoring": lm_scoring.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_chat_format": chat_format.query,
         "op10_toxicity": toxicity.query,

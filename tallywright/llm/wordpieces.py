@@ -1,8 +1,4 @@
-"""Cached byte-level BPE encoding.
-
-Merges never cross the pieces of the pre-tokeniser, so a text's ids are those
-of its pieces in turn, and a bounded cache of pieces saves most merges.
-"""
+"""Byte-level BPE encoding with a public vocabulary, whose path is a parameter."""
 
 from __future__ import annotations
 
@@ -11,9 +7,8 @@ import base64
 import numpy as np
 
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Of the published byte-level vocabulary.
+#: Fixed value: pre-tokeniser of the published byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
 END_OF_TEXT = 50256
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -21,23 +16,15 @@ _encoders: dict[str, ByteEncoder] = {}
 
 class ByteEncoder:
     def __init__(self, path: str):
-        import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        self.size = max(ranks.values()) + 2
 
     def encode(self, text: str) -> np.ndarray:
-        """Token ids of the whole text, as int32."""
-        pieces, known = self.split(text), self.known
-        for piece in set(pieces).difference(known):
-            known[piece] = self.encoding.encode_ordinary(piece)
-        ids = np.fromiter((i for piece in pieces for i in known[piece]), dtype=np.int32)
-        if len(known) > CACHE:
-            known.clear()
-        return ids
+        """Token ids of the whole text; control strings are ordinary text."""
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def count(self, text: str) -> int:
         return len(self.encode(text))
