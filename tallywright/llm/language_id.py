@@ -44,7 +44,7 @@ def presence(data: np.ndarray, offsets: np.ndarray):
     """Yields (first row, presence matrix, rows with a letter) for groups of at
     most BATCH texts. Anything but a letter separates words."""
     letters, width = _letters(), 1 << DIM_BITS
-    weights = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(GRAMS)]
+    weights = tk.mix(np.arange(1, GRAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for lo, hi in tk.chunks(offsets):
         part = data[offsets[lo] : offsets[hi]]
         codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
