@@ -34,7 +34,7 @@ from . import textkernel as tk
 from .runtime import table
 
 DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, CHUNK_BYTES, CACHE = 2, 3 << 20, 300_000
+SAMPLES, CHUNK_BYTES, CACHE = 2, 4 << 20, 300_000
 #: Siblings whose log-probability is below this can't be reached: a Gumbel of such height has a chance of about e**-40.
 DEEPEST = -40.0
 SPACE = "▁"
@@ -77,17 +77,23 @@ class PieceModel:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, dtype=np.int32)[order]
         self.weights = -np.log((rank + ZIPF_SHIFT) * ZIPF_TOTAL).astype(np.float32)[order]
-        self.hit = np.zeros(1 << 20, dtype=bool)
-        self.hit[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # By hash: 1 if a string is a piece, 2 if a longer piece begins with it, 3 if both.
+        self.kind = np.zeros(1 << 22, dtype=np.uint8)
+        self.kind[(self.keys >> np.uint64(42)).astype(np.int64)] = 1
+        for begin in {self.pieces[i][:k] for i in normal for k in range(1, len(self.pieces[i]))}:
+            self.kind[self._key(begin) >> 42] |= 2
         self.lone_space = [self.library.piece_to_id(SPACE)]
         self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _key(piece: str) -> int:
-        h = 0
+        """The hash that Lattice makes of a string, in whole numbers."""
+        h, all_bits = 0, (1 << 64) - 1
         for c in piece:
-            h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
-        return int(tk.mix(np.array([h], dtype=np.uint64))[0])
+            h = (h * int(_BASE) + ord(c) + 1) & all_bits
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & all_bits
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & all_bits
+        return h ^ (h >> 31)
 
     def units(self, text: str) -> list[str]:
         """The units of a text, those that begin with a space without it. A
@@ -161,16 +167,19 @@ class Lattice:
         char[inner] = codes
         end = np.repeat(ends, sizes + 1)
         hits = []
-        at, h = inner, np.zeros(len(inner), dtype=np.uint64)
+        at, room = inner.astype(np.int32), (end[inner] - inner).astype(np.int32)
+        h = char[at] + np.uint64(1)
         for size in range(1, most + 1):
-            fits = at + size <= end[at]
-            at, h = at[fits], h[fits]
-            h = h * _BASE + char[at + size - 1] + np.uint64(1)
             key = tk.mix(h)
-            near = np.flatnonzero(model.hit[(key >> np.uint64(44)).astype(np.int64)])
-            j = np.searchsorted(model.keys, key[near]).clip(max=len(model.keys) - 1)
-            same = model.keys[j] == key[near]
+            kind = model.kind[(key >> np.uint64(42)).astype(np.int32)]
+            near = np.flatnonzero(kind & 1)
+            found = key[near]
+            j = np.searchsorted(model.keys, found).clip(max=len(model.keys) - 1)
+            same = model.keys[j] == found
             hits.append((at[near[same]], j[same]))
+            going = (kind > 1) & (room > size)
+            at, room = at[going], room[going]
+            h = h[going] * _BASE + char[at + size] + np.uint64(1)
         most = max([size for size, (rows, _) in enumerate(hits, 1) if len(rows)], default=1)  # of the pieces that occur
         weight = np.full((most, n + most + 1), -np.inf, dtype=np.float32)
         piece = np.zeros((most, n), dtype=np.int32)
@@ -195,21 +204,23 @@ class Lattice:
                 beta[rows] = top + np.log(np.exp(value - top).sum(axis=0))
         beta[~np.isfinite(beta)] = 0
         log = weight[:, :n]
-        total = np.zeros(n, dtype=np.float32)
+        total, best, others = (np.zeros(n, dtype=np.float32) for _ in range(3))
         sums = np.empty((n, most), dtype=np.float32)
-        last = np.zeros(n, dtype=np.int8)
+        last, top = np.zeros(n, dtype=np.int8), np.zeros(n, dtype=np.int8)
         for size in range(most):
             log[size] += beta[size + 1 : n + size + 1] - beta[:n]
-            total += np.exp(log[size])
+            chance = np.exp(log[size])
+            total += chance
             sums[:, size] = total
-            last[log[size] > -np.inf] = size
-        # The likeliest piece of each state, and the log-probability of all others together.
-        self.top = np.argmax(log, axis=0).astype(np.int8)
-        others = np.zeros(n, dtype=np.float64)
-        for size in range(most):
-            others += np.where(self.top == size, 0, np.exp(log[size]))
+            np.putmask(last, chance > 0, size)
+            # The likeliest piece of each state, and the chance of all others together.
+            better = chance > best
+            others += np.minimum(best, chance)
+            np.maximum(best, chance, out=best)
+            np.putmask(top, better, size)
+        self.top = top
         with np.errstate(divide="ignore"):
-            self.others = np.log(others)
+            self.others = np.log(others.astype(np.float64))
         self.log, self.piece, self.sums, self.last = log.T, piece.T, sums, last
 
     def walk(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +231,7 @@ class Lattice:
         while len(which):
             rows = self.sums[at]
             u = uniform32(seeds[which] + np.uint64(step * 0x2545F4914F6CDD1D % (1 << 64))) * rows[:, -1]
-            size = np.minimum((rows <= u[:, None]).sum(axis=1), self.last[at])
+            size = np.minimum((rows > u[:, None]).argmax(axis=1), self.last[at])
             found.append((which, at, size))
             at = at + size + 1
             alive = ~self.terminal[at]
