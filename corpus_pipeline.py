@@ -13,8 +13,7 @@ from tallywright.llm.runtime import bucket, cut, small, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     labels = table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 5) != 0)
-    model = toxicity.fit_from_tables(docs, labels)
-    return toxicity.score(docs, model, [*docs.columns]).where("predicted = 0").select(docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit_from_tables(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,8 +214,8 @@ def regions(index: Index, hit: np.ndarray, data: np.ndarray, offsets: np.ndarray
                 yield r, it, found[1], found[2], found[0]
 
 
-def _scan(index: Index, hit: np.ndarray, batch):
-    data, offsets = tk.buffers(batch.column("_text"))
+def _scan(index: Index, hit: np.ndarray, column):
+    data, offsets = tk.buffers(column)
     for lo, hi in tk.chunks(offsets):
         for r, *rest in regions(index, hit, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
             yield lo + r, *rest
@@ -254,7 +254,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: fl
             hit = index.table()
             for batch in batches:
                 found: dict = {}
-                for r, it, begin, end, e in _scan(index, hit, batch):
+                for r, it, begin, end, e in _scan(index, hit, batch.column("_text")):
                     n, least, lo, hi = found.get((r, it), (0, e, begin, end))
                     found[r, it] = (n + 1, min(least, e), min(lo, begin), max(hi, end))
                 if found:
@@ -271,18 +271,17 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, e
     """The rows of ``docs`` in which no benchmark item is found, unchanged."""
     for index in _indexes(benchmark, window, edits):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        columns = docs.columns
 
-        def run(batches, shared=shared, columns=columns):
+        def run(batches, shared=shared):
             index = shared.value
             hit = index.table()
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for r, *_ in _scan(index, hit, batch):
+                for r, *_ in _scan(index, hit, batch.column("text")):
                     clean[r] = False
-                yield batch.filter(pa.array(clean)).select(columns)
+                yield batch.filter(pa.array(clean))
 
-        docs = docs.withColumn("_text", F.col("text")).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

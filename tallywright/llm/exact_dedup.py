@@ -34,7 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal are texts that are identical without any change; null counts as
     empty, so nulls and empty texts form one group. The largest id of a group
     stays. Ids should be unique; rows that repeat an id are each returned and
-    each count. An empty table gives an empty result. Other columns are
+    each count. A null id stays only where a text has no other. An empty table gives an
+    empty result. Other columns are
     ignored, whatever their names. Every row and the whole text are compared.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -59,7 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("_id").alias("doc_id"),
         F.col("_keep").alias("keep_id"),
         F.col("_n").cast("long").alias("group_size"),
-        (F.col("_id") == F.col("_keep")).alias("kept"),
+        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
         F.col("_digest").alias("text_sha256"),
     )
 
@@ -67,7 +68,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stay = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi")
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,7 +314,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     labels = connected(links.unionByName(more.select("a", "b")))
 
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
+    out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

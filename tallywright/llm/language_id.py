@@ -140,20 +140,18 @@ def fit_from_table(docs: DataFrame) -> KernelModel | None:
     return fit([r.text for r in taken], [r.lang for r in taken])
 
 
-def predict(docs: DataFrame, model: KernelModel | None, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (by default doc_id) plus lang_pred and score
-    (the winner's regression value, from -1..1 to 0..1). Null texts, and texts
-    without a letter, are ``und`` with score 0. Every row, whole texts; ties go
-    to the first language in order of name."""
-    keep = keep or ["doc_id"]
+def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """doc_id, lang_pred and score (the winner's regression value, from -1..1 to
+    0..1). Null texts, and texts without a letter, are ``und`` with score 0.
+    Every row, whole texts, null ids and repeated rows too; ties go to the first
+    language in order of name; an empty table gives an empty result. Further
+    columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    schema = source.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         use = shared.value
         for batch in batches:
-            data, offsets = tk.buffers(batch.column("_text"))
+            data, offsets = tk.buffers(batch.column("text"))
             lang, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
             for first, matrix, some in presence(data, offsets) if use else ():
                 values = use.scores(matrix)
@@ -161,10 +159,9 @@ def predict(docs: DataFrame, model: KernelModel | None, keep: list[str] | None =
                 rows = first + np.flatnonzero(some)
                 lang[rows] = np.array(use.languages, dtype=object)[best[some]]
                 score[rows] = ((values.max(axis=1)[some] + 1) / 2).clip(0, 1)
-            columns = [batch.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from .runtime import bucket, table
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 2000, 5000, 30_000
 FEATURES = 4096
 CUE_SHARE = 0.01
+THRESHOLD = 0.5
 BEGINNINGS = (4, 5, 6)
 HASH_BITS = 22
 
@@ -129,37 +130,53 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
     return fit_nnpu(take(toxic), take(other), prior)
 
 
-def score(docs: DataFrame, model: PuModel, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (by default doc_id) plus score and
-    predicted, for every row and its whole text. Null and empty texts have no
-    feature and get the score of the bias; an empty table gives an empty one."""
-    keep = keep or ["doc_id"]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.features, model.weights, model.bias))
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    schema = source.drop("_text").schema.add("score", "double").add("predicted", "integer")
+class Scorer:
+    def __init__(self, model: PuModel):
+        self.model = model
+        self.mask = np.uint64((1 << HASH_BITS) - 1)
+        self.hit = np.zeros(1 << HASH_BITS, dtype=bool)
+        self.hit[(model.features & self.mask).astype(np.int64)] = True
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        names, total = self.model.features, np.full(len(column), self.model.bias)
+        data, offsets = tk.buffers(column)
+        for lo, hi in tk.chunks(offsets) if len(names) else ():
+            h, rows = feature_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            near = self.hit[(h & self.mask).astype(np.int64)]
+            h, rows = h[near], rows[near]
+            j = np.searchsorted(names, h).clip(max=len(names) - 1)
+            same = names[j] == h
+            pairs = np.unique(rows[same] * len(names) + j[same])  # presence, not counts
+            np.add.at(total, lo + pairs // len(names), self.model.weights[pairs % len(names)])
+        return 1 / (1 + np.exp(-total.clip(-60, 60)))
+
+
+def score(docs: DataFrame, model: PuModel) -> DataFrame:
+    """doc_id, score and predicted for every row and its whole text. Null and
+    empty texts have no feature and get the score of the bias; repeated rows and
+    null ids are scored each; an empty table gives an empty result. Further
+    columns are not read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        names, weights, bias = shared.value
-        mask = np.uint64((1 << HASH_BITS) - 1)
-        hit = np.zeros(1 << HASH_BITS, dtype=bool)
-        hit[(names & mask).astype(np.int64)] = True
+        scorer = Scorer(shared.value)
         for batch in batches:
-            data, offsets = tk.buffers(batch.column("_text"))
-            total = np.full(batch.num_rows, bias)
-            for lo, hi in tk.chunks(offsets) if len(names) else ():
-                h, rows = feature_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                near = hit[(h & mask).astype(np.int64)]
-                h, rows = h[near], rows[near]
-                j = np.searchsorted(names, h).clip(max=len(names) - 1)
-                same = names[j] == h
-                pairs = np.unique(rows[same] * len(names) + j[same])
-                np.add.at(total, lo + pairs // len(names), weights[pairs % len(names)])
-            out = 1 / (1 + np.exp(-total.clip(-60, 60)))
-            columns = [batch.column(c) for c in keep] + [pa.array(out, pa.float64()), pa.array((out >= 0.5).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
-
-    return source.mapInArrow(run, schema)
+            out = scorer(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: PuModel) -> DataFrame:
+    """The rows of ``docs`` that score under THRESHOLD, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column("text")) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

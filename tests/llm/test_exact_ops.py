@@ -202,6 +202,7 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) > 20
     clean = decontaminate.without_leaks(docs, benchmark)
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want} and clean.columns == docs.columns
+    assert set(clean.collect()) <= set(docs.collect())
 
 
 def test_leaks_edge_cases(spark):

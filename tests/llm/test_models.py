@@ -81,8 +81,8 @@ def test_toxicity_edge_cases(spark):
     empty = toxicity.fit_from_tables(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(df, empty).collect()} == {0}
     assert toxicity.score(df.limit(0), empty).count() == 0
-    kept = toxicity.score(df, empty, ["doc_id", "lang"])
-    assert kept.columns == ["doc_id", "lang", "score", "predicted"] and kept.count() == 4
+    kept = toxicity.without_toxic(df, empty)
+    assert kept.collect() == df.collect() and kept.columns == df.columns
 
 
 def test_risk_of_negatives_stays_non_negative():
