@@ -3,7 +3,7 @@
 Encoding gives the ids of the SentencePiece library. No piece has a space after
 another character, and none has a line feed, so a text's ids are those of its
 units in turn: a run of spaces and what follows, or a line feed and what
-follows. Units are cached.
+follows. Each distinct unit of a chunk is encoded once.
 
 Sampling draws distinct segmentations of a whole text from the lattice of all
 its segmentations into pieces. A piece weighs as a unigram whose probability
@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from . import textkernel as tk
 from .runtime import table
 
 DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, CHUNK_BYTES, CACHE = 2, 4 << 20, 300_000
+SAMPLES, CHUNK_BYTES = 2, 2 << 20
 #: Siblings whose log-probability is below this can't be reached: a Gumbel of such height has a chance of about e**-40.
 DEEPEST = -40.0
 SPACE = "▁"
@@ -83,7 +83,6 @@ class PieceModel:
         for begin in {self.pieces[i][:k] for i in normal for k in range(1, len(self.pieces[i]))}:
             self.kind[self._key(begin) >> 42] |= 2
         self.lone_space = [self.library.piece_to_id(SPACE)]
-        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -98,30 +97,52 @@ class PieceModel:
     def units(self, text: str) -> list[str]:
         """The units of a text, those that begin with a space without it. A
         literal U+2581 is kept apart by a noncharacter that the text lacks."""
+        if not text:
+            return []
         if SPACE in text:
             text = text.replace(SPACE, self.stand_in(text))
-        found = text.replace("\n", " \n").split(" ")
-        if "" in found:
-            found = [u if u[0] == "\n" else u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))] if text else []
-        return found
+        return [u if u[0] == "\n" else u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
+
+    def all_units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct units of texts, the unit of each place, and where texts
+        begin. Texts without adjoining spaces are split by Arrow."""
+        apart = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
+        plain = pc.invert(pc.or_(pc.match_substring(apart, "  "), pc.or_(pc.match_substring(apart, SPACE), pc.or_(pc.starts_with(apart, " "), pc.or_(pc.ends_with(apart, " "), pc.equal(apart, "")))))).to_pylist()
+        lists = pc.split_pattern(pc.if_else(pa.array(plain), apart, ""), " ")
+        split, counts = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        units, occ = split.dictionary.to_pylist(), split.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if not all(plain):
+            place = dict(zip(units, range(len(units)), strict=True))
+            begins, parts = np.concatenate(([0], np.cumsum(counts))), []
+            done = 0
+            for d in [d for d, p in enumerate(plain) if not p]:
+                own = np.array([place.setdefault(u, len(place)) for u in self.units(texts[d])], dtype=np.int64)
+                parts += [occ[done : begins[d]], own]
+                done, counts[d] = begins[d + 1], len(own)
+            occ, units = np.concatenate([*parts, occ[done:]]), list(place)
+        return units, occ, np.concatenate(([0], np.cumsum(counts)))
+
+    def encode(self, text: str) -> np.ndarray:
+        return segment_chunk(self, [text], np.zeros(1, np.uint64), 0)[0][0][0]
 
     @staticmethod
     def stand_in(text: str) -> str:
         return next(c for c in map(chr, range(0xFDD0, 0xFDF0)) if c not in text)
 
-    def _learn(self, units: list[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {u: self.known[u] for u in units if u in self.known}
-        for unit, ids in zip(new, self.library.encode([u.replace(SPACE, " ") for u in new], num_threads=1), strict=True):
-            self.known[unit] = array("i", (ids[1:] if unit[0] == "\n" else ids) if unit else self.lone_space).tobytes()
-
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units, end to end, and where each begins."""
-        self._learn(units)
-        found = list(map(self.known.__getitem__, units))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        return np.frombuffer(b"".join(found), dtype=np.int32), np.concatenate(([0], np.cumsum(sizes)))
+        lists = self.library.encode([u if SPACE not in u else u.replace(SPACE, " ") for u in units], num_threads=1)
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(sizes.sum()))
+        begins = np.cumsum(sizes) - sizes
+        # The library puts a space before a line feed too, and none before nothing.
+        lines = np.array([i for i, u in enumerate(units) if u[:1] == "\n"], dtype=np.int64)
+        empty = [i for i, u in enumerate(units) if not u]
+        ids = np.insert(ids, begins[empty], self.lone_space * len(empty)) if empty else ids
+        sizes[empty] = 1
+        ids = np.delete(ids, (np.cumsum(sizes) - sizes)[lines])
+        sizes[lines] -= 1
+        return ids, np.concatenate(([0], np.cumsum(sizes)))
 
     def repaired(self, ids: np.ndarray, text: str) -> np.ndarray:
         """With the bytes of U+2581 in place of its stand-in's."""
@@ -132,13 +153,6 @@ class PieceModel:
             ids[np.asarray(at, dtype=np.int64) + i] = b
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        units = self.units(text)
-        ids, begins = self.encode_units(list(dict.fromkeys(units)))
-        place = {u: i for i, u in enumerate(dict.fromkeys(units))}
-        out = np.concatenate([ids[begins[place[u]] : begins[place[u] + 1]] for u in units]) if units else np.empty(0, np.int32)
-        return self.repaired(out, text) if SPACE in text else out
-
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """UTF-8 of a text from its ids, without the space put before it."""
         if not len(ids):
@@ -307,12 +321,7 @@ def uniform32(x: np.ndarray) -> np.ndarray:
 def segment_chunk(model: PieceModel, texts: list[str], keys: np.ndarray, samples: int) -> list[list[tuple]]:
     """For each text its encoding, then its sampled segmentations:
     (ids, log_prob, perturbed, log_inclusion), the latter three None for the encoding."""
-    by_text = list(map(model.units, texts))
-    counts = list(map(len, by_text))
-    units = list(dict.fromkeys(chain.from_iterable(by_text)))
-    place = dict(zip(units, range(len(units)), strict=True))
-    occ = np.fromiter(map(place.__getitem__, chain.from_iterable(by_text)), dtype=np.int64, count=sum(counts))
-    bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    units, occ, bounds = model.all_units(texts)
     flat, begins = model.encode_units(units)
     sizes = np.diff(begins)[occ] if len(occ) else np.empty(0, np.int64)
     token_at = np.concatenate(([0], np.cumsum(sizes)))
@@ -422,6 +431,8 @@ def segmentations(docs: DataFrame, samples: int = SAMPLES, model_path: str | Non
                     raw, own = texts[i].encode(), ids[lo + i].as_py()
                     rows += [(own, s, len(x), x.astype(width).tobytes(), a, b, c, model.decode_bytes(x) == raw) for s, (x, a, b, c) in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+                del rows
+                tk.release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
     return source.mapInArrow(run, "doc_id long, sample int, n_pieces int, ids binary, log_prob double, perturbed double, log_inclusion double, restored boolean")

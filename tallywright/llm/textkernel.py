@@ -7,6 +7,7 @@ for a word and memory does not depend on the length of a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,16 @@ def fold_latin(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give memory that is free inside this process back to the system, which
+    shares it with the other workers of an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
