@@ -276,13 +276,17 @@ def prefix_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long, na long, nb long").distinct()
 
 
-def near_labels(links: DataFrame) -> DataFrame:
-    """(id, label) with the smallest id within two links. Equal labels mean one
-    component, but a component may have several: enough to skip pairs."""
+def near_labels(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """(id, label) with a small id reachable by few links. Equal labels mean one
+    component, but a component may have several: enough to skip pairs. Each
+    round takes the least label of the neighbours, then that label's own."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    two = both.join(one.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    return two.withColumnRenamed("a", "id")
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    for _ in range(rounds):
+        over = cut(both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label")))
+        own = over.select(F.col("a").alias("label"), F.col("label").alias("further"))
+        labels = over.join(own, "label", "left").select("a", F.least("label", F.coalesce("further", "label")).alias("label"))
+    return labels.withColumnRenamed("a", "id")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
