@@ -6,13 +6,15 @@ good. A document's score is the mean over its tokens of the target loss minus
 the background loss (Moore and Lewis 2010); low means close to the target. A
 5-gram is smoothed by its last two bytes, those by the last one.
 
-Counts of every n-gram of every text are gathered. 4- and 5-grams are numbered
-by hash, with a cell for each CHARS_PER_CELL characters of the corpus, so tables
-grow with it up to 2**MOST_BITS cells, which bounds what is broadcast.
+Every 5-gram of every text is counted exactly, in a distributed table that has
+one row for each; counts of shorter contexts are sums of its rows. The table is
+looked up in parts of about 2**PART_BITS 5-grams, as many as it takes, so the
+model grows with the corpus and what is broadcast at a time does not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,100 +23,183 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import bucket, partitions, small, table
+from .runtime import bucket, cut, small, table
 
-CHARS_PER_CELL, LEAST_BITS, MOST_BITS, BLOCK_BITS = 400, 16, 22, 14
+PART_BITS = 21
+#: Different 5-grams that a task holds before it sends their counts.
+HELD = 1 << 21
 #: Weight of the shorter context, in counts.
 BACKOFF = 4.0
 CONTEXT = 4
 #: For each model: bytes with their 4 before, those 4 alone, bytes with the one before.
 KINDS = ("5-grams", "4-grams", "2-grams") * 2
+#: Contexts are dealt to parts by their remainder by this prime.
+PRIME = 65521
 
 
-def numbered(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(5-gram cell, 4-gram cell, 2-gram, row) of each byte; texts begin after
-    CONTEXT zero bytes."""
+def numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(5-gram, row) of each byte: the byte itself in the highest of 5 bytes, the
+    4 before it below. Texts begin after CONTEXT zero bytes."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     padded = np.zeros(len(data) + CONTEXT * (len(offsets) - 1) + 8, dtype=np.uint8)
     at = np.arange(len(data)) + CONTEXT * (rows + 1)
     padded[at] = data
     eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))[at - CONTEXT]
-    cell = lambda x: (tk.mix(x) >> np.uint64(64 - bits)).astype(np.int32)
-    pair = ((eight >> np.uint64(24)) & np.uint64(0xFFFF)).astype(np.int32)
-    return cell((eight & np.uint64(0xFFFFFFFFFF)) | np.uint64(1 << 48)), cell(eight & np.uint64(0xFFFFFFFF)), pair, rows
+    return eight & np.uint64(0xFFFFFFFFFF), rows
 
 
-def _tables(bits: int, dtype) -> list[np.ndarray]:
-    return [np.zeros(1 << (16 if k == "2-grams" else bits), dtype) for k in KINDS]
+def _context(five: np.ndarray) -> np.ndarray:
+    return five & np.uint64(0xFFFFFFFF)
 
 
-def gather(docs: DataFrame, bits: int) -> list[np.ndarray]:
-    """The count tables of ``docs`` (text, good). Each task counts into
-    tables and sends the blocks that it has touched; a block is summed up in one
-    task. The driver gets 4 * 2**bits numbers and few more."""
-    width = 1 << BLOCK_BITS
+def _pair(five: np.ndarray) -> np.ndarray:
+    return (five >> np.uint64(24)).astype(np.int64)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """five, n and good (occurrences in texts marked so) of every 5-gram of
+    ``docs`` (text, good), exact."""
+
+    def summed(held):
+        names, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return names, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def sent(names, n):
+        for lo in range(0, len(names), 1 << 17):
+            own, count = names[lo : lo + (1 << 17)], n[lo : lo + (1 << 17)]
+            five = (own >> np.uint64(1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(five), pa.array(count), pa.array(np.where(own & np.uint64(1), count, 0))], names=["five", "n", "good"])
 
     def tally(batches):
-        tables = _tables(bits, np.int32)
+        held, size = [], 0
         for batch in batches:
             good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = tk.buffers(batch.column("_text"))
             for lo, hi in tk.chunks(offsets, 2 << 20):
-                *cells, rows = numbered(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], bits)
-                target = good[lo + rows]
-                for i, x in enumerate(cells):
-                    tables[i] += np.bincount(x, minlength=len(tables[i])).astype(np.int32)
-                    if target.any():
-                        tables[i + 3] += np.bincount(x[target], minlength=len(tables[i])).astype(np.int32)
-        yield from blocks(tables)
-
-    def blocks(tables):
-        for kind, counts in enumerate(tables):
-            for block in range(len(counts) // width):
-                part = counts[block * width : (block + 1) * width]
-                if part.any():
-                    dtype = next(t for t in ("uint8", "uint16", "uint32", "int64") if part.max() <= np.iinfo(t).max)
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "dtype": [dtype], "data": pa.array([part.astype(dtype).tobytes()], pa.binary())})
-
-    def merge(batches):
-        sums: dict = {}
-        for batch in batches:
-            for kind, block, dtype, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                part = np.frombuffer(data, dtype).astype(np.int64)
-                sums[kind, block] = sums[kind, block] + part if (kind, block) in sums else part
-        for (kind, block), part in sums.items():
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "dtype": ["float32"], "data": pa.array([part.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "kind int, block int, dtype string, data binary"
-    parts = docs.select("good", F.col("text").alias("_text")).mapInArrow(tally, schema)
-    merged = parts.repartition(partitions(docs.sparkSession), "kind", "block").mapInArrow(merge, schema)
-    tables = _tables(bits, np.float32)
-    for kind, block, dtype, data in merged.toLocalIterator():
-        tables[kind][block * width : (block + 1) * width] = np.frombuffer(bytes(data), dtype)
-    return tables
+                five, rows = numbered(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                held.append(np.unique(five << np.uint64(1) | good[lo + rows], return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from sent(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from sent(*summed(held))
+
+    parts = docs.select("good", F.col("text").alias("_text")).mapInArrow(tally, "five long, n long, good long")
+    return parts.groupBy("five").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+
+
+class Counts(Sequence):
+    """The distributed table of 5-grams, cut into parts of about 2**bits rows
+    that keep the 5-grams of a context together, and the counts of 2-grams. As a
+    sequence it has the counts of each of KINDS, gathered on the driver."""
+
+    def __init__(self, frame: DataFrame, bits: int):
+        self.frame = frame
+        self.parts = max(1, -(-frame.count() // (1 << bits)))
+        self.pairs = np.zeros((2, 1 << 16), np.int64)
+        for pair, n, good in frame.groupBy(F.shiftright("five", 24)).agg(F.sum("n"), F.sum("good")).collect():
+            self.pairs[:, pair] = n, good
+
+    def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(5-grams, their counts in all texts and in good ones) of one part."""
+        own = self.frame if self.parts == 1 else self.frame.where((F.col("five").bitwiseAND(0xFFFFFFFF) % PRIME) % self.parts == i)
+        found = own.select("five", "n", "good").toArrow()
+        five, n, good = (found.column(c).to_numpy() for c in ("five", "n", "good"))
+        return five.astype(np.uint64), np.stack((n, good))
+
+    def __len__(self) -> int:
+        return len(KINDS)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if not 0 <= i < len(KINDS):
+            raise IndexError(i)
+        model, kind = divmod(i, 3)
+        if KINDS[kind] == "2-grams":
+            return self.pairs[model]
+        found = [self.part(p) for p in range(self.parts)]
+        five, n = np.concatenate([x for x, _ in found]), np.concatenate([n[model] for _, n in found])
+        return n if KINDS[kind] == "5-grams" else np.bincount(np.unique(_context(five), return_inverse=True)[1], n).astype(np.int64)
+
+
+def gather(docs: DataFrame, bits: int) -> Counts:
+    """The counts of ``docs`` (text, good), exact, to be looked up in parts of
+    about 2**bits 5-grams. They stay distributed; the driver gets those of 2-grams."""
+    return Counts(cut(counted(docs)), bits)
+
+
+class Names:
+    """Places of numbers in a set of them, which is sorted by a hash without collisions."""
+
+    def __init__(self, names: np.ndarray):
+        mixed = tk.mix(names)
+        self.order = np.argsort(mixed)
+        self.mixed = np.append(mixed[self.order], np.uint64(2**64 - 1))
+        bits = max(1, len(names).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.mixed[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in sorted order, whether it is there) of each number."""
+        mixed = tk.mix(names)
+        at = self.first[(mixed >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.mixed[at] < mixed)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.mixed[at[behind]] < mixed[behind]]
+        return at, (self.mixed[at] == mixed) & (at < len(self.order))
+
+
+class Part:
+    """Losses of the 5-grams of one part, and its contexts for those not in it."""
+
+    def __init__(self, five: np.ndarray, n: np.ndarray, short: np.ndarray):
+        contexts, inverse = np.unique(_context(five), return_inverse=True)
+        four = np.stack([np.bincount(inverse, x, minlength=len(contexts)) for x in n])
+        loss = -np.log((n + BACKOFF * short[:, _pair(five)]) / (four[:, inverse] + BACKOFF))
+        self.short, self.fives, self.contexts = short, Names(five), Names(contexts)
+        self.loss, self.four = loss[:, self.fives.order], four[:, self.contexts.order]
+        self.fives.order, self.contexts.order = (np.empty(len(x.order), np.bool_) for x in (self.fives, self.contexts))
+
+    def losses(self, five: np.ndarray) -> np.ndarray:
+        """Minus log-probability of each byte after those before it, by the
+        background model and by the target model."""
+        at, there = self.fives.find(five)
+        out = np.empty((2, len(five)))
+        out[:, there] = self.loss[:, at[there]]
+        new = five[~there]
+        if len(new):
+            at, there_ = self.contexts.find(_context(new))
+            four = np.zeros((2, len(new)))
+            four[:, there_] = self.four[:, at[there_]]
+            out[:, ~there] = -np.log(BACKOFF * self.short[:, _pair(new)] / (four + BACKOFF))
+        return out
 
 
 @dataclass
 class Models:
     bits: int
-    tables: list[np.ndarray]
+    tables: Counts
+
+    @property
+    def short(self) -> np.ndarray:
+        """Probability of each byte after the one before it, by each model."""
+        square = self.tables.pairs.reshape(2, 256, 256).astype(np.float64)  # row: the byte itself, column: the one before
+        alone = (square.sum(axis=2) + 1) / (square.sum(axis=(1, 2))[:, None] + 256)
+        return ((square + BACKOFF * alone[:, :, None]) / (square.sum(axis=1)[:, None, :] + BACKOFF)).reshape(2, -1)
 
-    def losses(self, five: np.ndarray, four: np.ndarray, two: np.ndarray, target: bool) -> np.ndarray:
-        """Minus log-probability of each byte after those before it."""
-        fives, fours, twos = self.tables[3:] if target else self.tables[:3]
-        square = twos.reshape(256, 256).astype(np.float64)  # row: the byte itself, column: the one before
-        alone = (square.sum(axis=1) + 1) / (square.sum() + 256)
-        short = ((square + BACKOFF * alone[:, None]) / (square.sum(axis=0) + BACKOFF)).astype(np.float32).reshape(-1)
-        return -np.log((fives[five] + np.float32(BACKOFF) * short[two]) / (np.maximum(fours[four], fives[five]) + np.float32(BACKOFF)))
+    def part(self, i: int) -> Part:
+        return Part(*self.tables.part(i), self.short)
 
 
 def fit(docs: DataFrame, good: DataFrame) -> Models:
     """Models from all of ``docs`` and, as target, those with an id in ``good`` (doc_id)."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(chars // CHARS_PER_CELL).bit_length()))
     ids = small(good.where("doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True)))
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    return Models(bits, gather(marked, bits))
+    return Models(PART_BITS, gather(marked, PART_BITS))
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -122,24 +207,37 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     difference per token) of every row, whole texts. A token is a byte.
     Null and empty texts have none, null losses and a null score. Repeated rows and null
     ids are scored each; an empty table gives an empty result."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            data, offsets = tk.buffers(batch.column("_text"))
-            n, target, background = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lo, hi in tk.chunks(offsets):
-                *cells, rows = numbered(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], m.bits)
-                n[lo:hi] = np.diff(offsets[lo : hi + 1])
-                for loss, of_target in ((target, True), (background, False)):
-                    loss[lo:hi] = np.bincount(rows, m.losses(*cells, of_target), minlength=hi - lo)
-            none, per = n == 0, np.maximum(n, 1)
-            columns = [pa.array(x / per, pa.float64(), mask=none) for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *columns], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return source.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    parts = models.tables.parts
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.lit(0).cast("long").alias("_row"))
+    if parts > 1:
+        source = cut(source.withColumn("_row", F.monotonically_increasing_id()))
+
+    def sums(i: int) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(models.part(i))
+
+        def run(batches):
+            part = shared.value
+            for batch in batches:
+                data, offsets = tk.buffers(batch.column("_text"))
+                total = np.zeros((2, batch.num_rows))
+                for lo, hi in tk.chunks(offsets):
+                    five, rows = numbered(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    if parts > 1:
+                        own = _context(five) % np.uint64(PRIME) % np.uint64(parts) == i
+                        five, rows = five[own], rows[own]
+                    for of_model, loss in zip(total, part.losses(five), strict=True):
+                        of_model[lo:hi] = np.bincount(rows, loss, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total[1]), pa.array(total[0])], names=["_row", "doc_id", "n_tokens", "target", "background"])
+
+        return source.mapInArrow(run, "_row long, doc_id long, n_tokens long, target double, background double")
+
+    out = sums(0)
+    if parts > 1:
+        for i in range(1, parts):
+            out = out.unionByName(sums(i))
+        out = out.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    mean = lambda x: F.when(F.col("n_tokens") > 0, F.expr(x) / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", mean("target").alias("loss_target"), mean("background").alias("loss_background"), mean("target - background").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,40 @@ def test_counts_equal_brute_force(spark):
             want[ord(b), ord(a)] += 1
     assert (tables[2].reshape(256, 256) == want).all()
     assert lm_scoring.score(spark.createDataFrame([], "doc_id long, text string"), lm_scoring.Models(16, tables)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [21, 15])
+def test_losses_equal_brute_force_over_many_ngrams(spark, bits):
+    """Far more 5-grams than 2**16, in one part and in several."""
+    from collections import Counter
+
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyzäß ") for _ in range(1500)) for _ in range(120)] + ["the same text again and again " * 40, "", None]
+    good = set(range(0, 123, 3))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = spark.createDataFrame([(t, i in good) for i, t in enumerate(texts)], "text string, good boolean")
+    models = lm_scoring.Models(bits, lm_scoring.gather(marked, bits))
+    new = [(500, "quite unseen: 12345, the same"), (None, texts[0])]
+    rows = list(enumerate(texts)) + new
+    got = lm_scoring.score(df.unionByName(spark.createDataFrame(new, df.schema)), models).collect()
+    assert len(got) == len(rows) and models.tables.frame.count() > 2 << 16 and (models.tables.parts > 1) == (bits == 15)
+    for model in (0, 1):
+        counts = [Counter() for _ in range(6)]
+        for i, t in enumerate(texts):
+            raw = b"\0" * 4 + (t or "").encode()
+            for j in range(4, len(raw)) if model == 0 or i in good else ():
+                for c, key in zip(counts, (raw[j - 4 : j + 1], raw[j - 4 : j], raw[j - 1 : j + 1], raw[j - 1 : j], raw[j : j + 1], b""), strict=True):
+                    c[key] += 1
+        five, four, two, before, one, every = counts
+
+        def loss(t):
+            raw, out = b"\0" * 4 + t.encode(), 0.0
+            for j in range(4, len(raw)):
+                alone = (one[raw[j : j + 1]] + 1) / (every[b""] + 256)
+                short = (two[raw[j - 1 : j + 1]] + 4 * alone) / (before[raw[j - 1 : j]] + 4)
+                out -= np.log((five[raw[j - 4 : j + 1]] + 4 * short) / (four[raw[j - 4 : j]] + 4))
+            return out / (len(raw) - 4)
+
+        by = {(r.doc_id): r["loss_target" if model else "loss_background"] for r in got}
+        for i, t in rows[::10] + rows[-5:]:
+            assert by[i] == (pytest.approx(loss(t), rel=1e-9) if t else None)
