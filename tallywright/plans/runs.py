@@ -359,6 +359,18 @@ def ngram_precision(spark, d):
     return rounded(clipped_precision(docs, docs.where("doc_id < 50"), "doc_id", "tokens", 2), "precision")
 
 
+
+@register("ngram_precision_all")
+def ngram_precision_all(spark, d):
+    """All texts of two words or more, against all of the most frequent language (ties: the first by name)."""
+    from ..operators.codebleu import clipped_precision
+
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.split("text", " ").alias("tokens"))
+    lang = rows.most_common(docs.where("lang IS NOT NULL"), "lang", 1).select("lang")
+    references = docs.join(F.broadcast(lang), "lang", "left_semi")
+    return rounded(clipped_precision(docs, references, "doc_id", "tokens", 2), "precision")
+
+
 RAW_CASES = [
     '@@COT_BEGIN@@ {"physical_law": {"name": "N", "statement": "s", "formula": "f"}} @@COT_END@@',
     '@@COT_BEGIN@@ {"physical_law": {"name": "N", "statement": "s", "formula": "f",}, } @@CODE_BEGIN@@ x',

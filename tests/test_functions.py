@@ -178,3 +178,20 @@ def test_judges(spark):
     df = spark.createDataFrame([(1, "p"), (2, "q")], "sample long, prompt string")
     out = {r.sample: r for r in judges.judged(df, ["sample"], [replay], "s").collect()}
     assert out[1].scores == '{"overall": 3}' and out[2].judge_error.startswith("JSONDecodeError")
+
+
+def test_ngram_precision_covers_long_texts_and_all_references(spark, tmp_path):
+    from collections import Counter
+
+    from tallywright.plans import catalog
+
+    texts = {1: ("en", "a b a b c"), 70: ("en", " ".join(["x", "y"] * 1500)), 90: ("de", " ".join(["x", "y", "z"] * 900)), 95: ("de", "one"), 99: ("en", "a b a b a b"), 100: (None, "b c d")}
+    spark.createDataFrame([(i, lang, t) for i, (lang, t) in texts.items()], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    grams = {i: Counter(zip(t.split(" "), t.split(" ")[1:], strict=False)) for i, (_, t) in texts.items()}
+    most = Counter()
+    for i, (lang, _) in texts.items():
+        if lang == "en":
+            most |= grams[i]
+    want = {(i, sum(g.values()), sum((g & most).values())) for i, g in grams.items() if g}
+    got = {(r.doc_id, r.grams, r.clipped) for r in catalog.queries()["ngram_precision_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 5
