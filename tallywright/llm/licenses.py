@@ -2,15 +2,16 @@
 
 Lines with a word that licenses use, and their neighbours, are candidate
 blocks. A block is compressed by zstandard alone and with each template as raw
-dictionary; the templates that save most are its best. They are confirmed by the
-exact wording: words of the template that the block lacks, and words that it
-adds between them, are listed and must be few.
+dictionary, which ranks the templates. Every template whose words could be there
+is confirmed by the exact wording: words of the template that the block lacks,
+and words that it adds between them, are listed and must be few.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
-    "All rights reserved": "Copyright. All rights reserved.",
+    "All rights reserved": "All rights reserved.",
 }
 
 _CUE = re.compile(CUE)
@@ -89,6 +90,10 @@ class Scanner:
         saved = {n: (alone - len(c.compress(raw))) / self.own[n] for n, c in self.given.items()}
         return sorted(saved.items(), key=lambda x: (-x[1], x[0]))
 
+    def possible(self, there: Counter, name: str) -> bool:
+        """Whether words counted in ``there`` are enough, in whatever order, to confirm the template."""
+        return (Counter(self.words[name]) & there).total() >= LEAST_SAME * len(self.words[name])
+
     def wording(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
         """Share of the template's words that the block has in order, those that
         it lacks, and those that it adds between the first and the last."""
@@ -110,7 +115,10 @@ class Scanner:
             block = text[begin:end]
             ranked = self.rank(block)
             best = None
-            for name, saved in [r for r in ranked if r[1] >= LEAST_SAVED][: 2 * RANKED]:
+            there = Counter(_WORD.findall(block.lower()))
+            for name, saved in ranked:
+                if saved < LEAST_SAVED and not self.possible(there, name):
+                    continue
                 same, missing, added = self.wording(block, name)
                 good = same >= LEAST_SAME and len(added) <= max(1, (1 - LEAST_SAME) * len(self.words[name]))
                 if best is None or (good, same * len(self.words[name]) * good) > (best[1], best[3] * len(self.words[best[0]]) * best[1]):

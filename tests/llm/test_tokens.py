@@ -184,3 +184,16 @@ def test_license_blocks(spark):
     assert not got[6][0].confirmed
     assert all(texts[d][r.begin : r.end] for d, rs in got.items() for r in rs)
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_license_is_confirmed_by_wording_whatever_it_saves(spark, monkeypatch):
+    """A short line, a notice with few bytes saved, and the last of many templates in rank."""
+    cases = ["All rights reserved.", "prose before\nMade by us. All rights reserved.\nprose after"]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, cases)).collect()}
+    assert all(got[i].license == "All rights reserved" and got[i].confirmed and got[i].same == 1 for i in (0, 1))
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rank = scanner.rank
+    for name in ("MIT", "Apache-2.0", "MIT notice", "CC-BY-SA-4.0 notice"):
+        monkeypatch.setattr(scanner, "rank", lambda block, name=name: sorted(((n, 0.1 if n == name else s) for n, s in rank(block)), key=lambda x: -x[1]))
+        found = list(scanner.scan(f"one\n{licenses.TEMPLATES[name]}\ntwo"))
+        assert [r[2:4] for r in found] == [(name, True)]
