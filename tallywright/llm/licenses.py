@@ -4,15 +4,18 @@ Lines with a word that licenses use, and their neighbours, are candidate
 blocks. A block is compressed by zstandard alone and with each template as raw
 dictionary, which ranks the templates. Every template whose words could be there
 is confirmed by the exact wording: words of the template that the block lacks,
-and words that it adds between them, are listed and must be few.
+and words that it adds between them, are listed and must be few. They are looked
+for as far around a cue as the template is long, and taken once.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,28 +113,81 @@ class Scanner:
                 added += block_words[a:b]
         return same / len(own), missing, added
 
+    def aligned(self, words: list, name: str) -> tuple[int, int, float, list[str], list[str]]:
+        """The run of ``words`` with the fewest words of the template missing and
+        other words added: (begin, end, share present, missing, added)."""
+        own = self.words[name]
+        numbers: dict = {}
+        codes = np.array([-1 if w is None else numbers.setdefault(w, len(numbers)) for w in words])
+        steps = np.arange(len(words) + 1)
+        cost = np.zeros((len(own) + 1, len(words) + 1), dtype=np.int64)
+        for i, w in enumerate(own):
+            best = cost[i] + 1
+            at = np.flatnonzero(codes == numbers.get(w, -2))
+            best[at + 1] = np.minimum(best[at + 1], cost[i][at])
+            cost[i + 1] = np.minimum.accumulate(best - steps) + steps
+        i, j = len(own), int(cost[-1].argmin())
+        end, missing, added = j, [], []
+        while i:
+            if j and words[j - 1] == own[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+            elif cost[i, j] == cost[i - 1, j] + 1:
+                i -= 1
+                missing.append(own[i])
+            else:
+                j -= 1
+                added.append(words[j])
+        return j, end, 1 - len(missing) / len(own), missing[::-1], added[::-1]
+
+    def confirmed(self, words: list, first: int, last: int, saved: dict[str, float]):
+        """The template with most words confirmed among ``words`` around those
+        from ``first`` to ``last``, at whatever distance its length allows:
+        (words, name, begin, end, share present, missing, added), or None."""
+        best = None
+        for name in sorted(self.words, key=lambda n: (-saved[n], n)):
+            n = len(self.words[name])
+            most = max(1, int((1 - LEAST_SAME) * n))
+            low = max(0, first - n - most)
+            near = words[low : last + 1 + n + most]
+            if not self.possible(Counter(near), name):
+                continue
+            begin, end, same, missing, added = self.aligned(near, name)
+            if same >= LEAST_SAME and len(added) <= most and None not in added and (best is None or same * n > best[0]):
+                best = (same * n, name, low + begin, low + end, same, missing, added)
+        return best
+
     def scan(self, text: str):
+        """A row for each license that wording confirms near a cue; words once
+        taken serve no other. A block without any has one unconfirmed row."""
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words: list = [text[a:b].lower() for a, b in spans]
+        starts, ends = [a for a, _ in spans], [b for _, b in spans]
         for begin, end in blocks(text):
             block = text[begin:end]
             ranked = self.rank(block)
-            best = None
-            there = Counter(_WORD.findall(block.lower()))
-            for name, saved in ranked:
-                if saved < LEAST_SAVED and not self.possible(there, name):
-                    continue
-                same, missing, added = self.wording(block, name)
-                good = same >= LEAST_SAME and len(added) <= max(1, (1 - LEAST_SAME) * len(self.words[name]))
-                if best is None or (good, same * len(self.words[name]) * good) > (best[1], best[3] * len(self.words[best[0]]) * best[1]):
-                    best = (name, good, saved, same, missing, added)
-            if best is None:
-                best = (None, False, ranked[0][1], 0.0, [], [])
-            yield (begin, end, *best, [{"license": n, "saved": s} for n, s in ranked[:RANKED]])
+            saved, head = dict(ranked), [{"license": n, "saved": s} for n, s in ranked[:RANKED]]
+            found = left = False
+            for cue in _CUE.finditer(text, begin, end):
+                first, last = bisect.bisect_right(ends, cue.start()), bisect.bisect_left(starts, cue.end()) - 1
+                while any(w is not None for w in words[first : last + 1]):
+                    best = self.confirmed(words, first, last, saved)
+                    if best is None:
+                        left = True
+                        break
+                    _, name, a, b, *rest = best
+                    yield (starts[a], ends[b - 1], name, True, saved[name], *rest, head)
+                    words[a:b] = [None] * (b - a)
+                    found = True
+            if left and not found:
+                name, most = ranked[0]
+                yield (begin, end, *((name, False, most, *self.wording(block, name)) if most >= LEAST_SAVED else (None, False, most, 0.0, [], [])), head)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per candidate block of every text: place (code points), best
-    template or null, whether wording confirms it, bytes saved per byte of it, share of its
-    words present, words missing and added, and the best templates.
+    """One row per license that wording confirms, at the place of that wording,
+    and one per candidate block that has none: place (code points), template or
+    null, whether wording confirms it, bytes that it saves in the block per byte of it, share of its
+    words present, words missing and added, and the block's best templates.
 
     Whole texts are read. Null and empty texts have no block. Repeated rows and
     null ids are reported each; ties go to the first name. An empty table gives

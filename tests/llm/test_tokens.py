@@ -197,3 +197,21 @@ def test_license_is_confirmed_by_wording_whatever_it_saves(spark, monkeypatch):
         monkeypatch.setattr(scanner, "rank", lambda block, name=name: sorted(((n, 0.1 if n == name else s) for n, s in rank(block)), key=lambda x: -x[1]))
         found = list(scanner.scan(f"one\n{licenses.TEMPLATES[name]}\ntwo"))
         assert [r[2:4] for r in found] == [(name, True)]
+
+
+def test_every_license_of_a_block_is_confirmed(spark):
+    """Neighbouring notices, a license twice, and one whose lines lie beyond its cue's neighbours."""
+    t = licenses.TEMPLATES
+    unlicense = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use,\ncompile, sell, or\ndistribute this software, either in source code\nform or as a compiled binary, for any purpose,\ncommercial or non-commercial, and by any means."
+    cases = [
+        (f"{t['MIT notice']}\n{t['Apache-2.0 notice']}", ["MIT notice", "Apache-2.0 notice"]),
+        (f"Copyright (c) X. All rights reserved.\n\n{t['MIT']}\n{t['Apache-2.0']}", ["All rights reserved", "MIT", "Apache-2.0"]),
+        ("\n".join([t["MIT notice"]] * 3), ["MIT notice"] * 3),
+        (unlicense, ["Unlicense"]),
+        ("\n".join(f" * {w}" for w in t["GPL-3.0-or-later"].split(" ")), ["GPL-3.0-or-later"]),
+    ]
+    rows = licenses.scan(docs(spark, [c for c, _ in cases])).collect()
+    for i, (text, want) in enumerate(cases):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.begin)
+        assert [r.license for r in own] == want and all(r.confirmed and r.same == 1 and not r.missing for r in own)
+        assert all(a.end <= b.begin for a, b in zip(own, own[1:], strict=False)) and own[-1].end <= len(text)
