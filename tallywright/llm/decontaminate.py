@@ -1,10 +1,13 @@
 """Operator 4: benchmark decontamination by the q-gram lemma.
 
-Every benchmark item is cut into overlapping windows. A text region within
+Every region of a window's length of a benchmark item is looked for, wherever it
+begins; a shorter item as a whole. A text region within
 ``e`` edits of a window of ``w`` characters shares at least ``w - q + 1 - e*q``
 of its q-grams with it, all within ``e`` diagonals of each other. So the shared
 q-grams are counted in diagonal bands of ``2e`` diagonals that overlap by half,
-bands that reach the bound are kept, and a banded alignment decides.
+bands that reach the bound are kept, and a banded alignment decides: first of
+windows half a window apart, and if none is found, of those between them.
+Items too short for that are compared exactly, at the bounds of words.
 Texts are compared in lower case with white space folded, whole texts always.
 """
 
@@ -25,7 +28,11 @@ TABLE_BITS = 22
 #: Characters of benchmark text that one pass over the documents looks for.
 BLOCK_CHARS = 8_000_000
 
+#: Edits over the budget that an alignment tells apart, to pass over windows that can't be found.
+OVER = 16
+
 _tables: list[np.ndarray] = []
+_words: list[np.ndarray] = []
 
 
 def _lower() -> np.ndarray:
@@ -40,6 +47,15 @@ def _lower() -> np.ndarray:
     return _tables[0]
 
 
+def _in_word() -> np.ndarray:
+    """Whether a code point is a letter or digit of a script that divides words."""
+    if not _words:
+        out = np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+        out[0x0E00:0x0E80] = out[0x3040:0xA000] = out[0x20000:] = False
+        _words.append(out)
+    return _words[0]
+
+
 def normal_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points and row bounds of texts in lower case, runs of white space
     as one space, none at either end."""
@@ -103,6 +119,30 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
     return edits, d + low, end
 
 
+@dataclass
+class Windows:
+    """The regions of an item that are looked for: (begin, length, edits, least hits)."""
+
+    chars: int
+    length: int
+    edits: int
+
+    @property
+    def need(self) -> int:
+        return self.length - Q + 1 - self.edits * Q
+
+    def __len__(self) -> int:
+        return self.chars - self.length + 1
+
+    def __iter__(self):
+        return ((b, self.length, self.edits, self.need) for b in range(len(self)))
+
+    def marks(self):
+        """Those that begin at multiples of half a window, and the last."""
+        begins = sorted({*range(0, len(self), max(1, self.length // 2)), len(self) - 1})
+        return ((b, self.length, self.edits, self.need) for b in begins)
+
+
 @dataclass
 class Index:
     """Q-grams of benchmark items, sorted, with the places where they occur."""
@@ -114,9 +154,11 @@ class Index:
     first: np.ndarray
     items: np.ndarray
     places: np.ndarray
-    windows: list[list[tuple[int, int, int, int]]]  # begin, length, edits, least hits
+    windows: list[Windows]
     span: int
     least: int
+    short_ids: list
+    shorts: dict[bytes, list[int]]  # code points of a short item: its places in short_ids
 
     def table(self) -> np.ndarray:
         hit = np.zeros(1 << TABLE_BITS, dtype=bool)
@@ -125,37 +167,84 @@ class Index:
 
 
 def build_index(items: list[tuple], window: int = WINDOW, edits: float = EDITS) -> Index | None:
-    """Index (id, text) pairs; items under LEAST_CHARS characters are left out."""
-    ids, codes, windows = [], [], []
+    """Index (id, text) pairs; items under LEAST_CHARS characters apart. Items of white space have no text."""
+    ids, codes, windows, short_ids, shorts = [], [], [], [], {}
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         own, _ = normal_codes(raw, np.array([0, len(raw)]))
         if len(own) < LEAST_CHARS:
+            if len(own):
+                shorts.setdefault(own.astype(np.uint32).tobytes(), []).append(len(short_ids))
+                short_ids.append(item)
             continue
         w = min(len(own), window)
         e = max(0, min(int(edits * w), (w - Q + 1 - LEAST_HITS) // Q))
-        begins = sorted({*range(0, len(own) - w + 1, max(1, w // 2)), len(own) - w})
         ids.append(item)
         codes.append(own)
-        windows.append([(b, w, e, w - Q + 1 - e * Q) for b in begins])
-    if not ids:
+        windows.append(Windows(len(own), w, e))
+    if not ids and not short_ids:
         return None
     found = [grams(c) for c in codes]
-    values = np.concatenate(found)
+    values = np.concatenate([np.empty(0, np.uint64), *found])
     order = np.argsort(values, kind="stable")
     names, first = np.unique(values[order], return_index=True)
     items_ = np.repeat(np.arange(len(ids)), [len(g) for g in found])[order]
-    places = np.concatenate([np.arange(len(g)) for g in found])[order]
-    flat = [w for own in windows for w in own]
-    return Index(ids, codes, np.array([own[0][2] for own in windows]), names, np.append(first, len(values)), items_, places, windows, max(w[1] + 2 * w[2] for w in flat), min(w[3] for w in flat))
+    places = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in found)])[order]
+    span, least = max((w.length + 2 * w.edits for w in windows), default=1), min((w.need for w in windows), default=1)
+    return Index(ids, codes, np.array([w.edits for w in windows], dtype=np.int64), names, np.append(first, len(values)), items_, places, windows, span, least, short_ids, shorts)
+
 
+def whole(index: Index, codes: np.ndarray, bounds: np.ndarray):
+    """(row, item, begin, end, 0) of every place where a text holds a short item
+    between bounds of words; items are numbered after those with windows."""
+    if not index.shorts or not len(codes):
+        return
+    inside = _in_word()[codes.clip(max=0x10FFFF)]
+    at_bound = np.ones(len(codes) + 1, dtype=bool)
+    at_bound[1:-1] = ~(inside[1:] & inside[:-1])
+    at_bound[bounds] = True
+    starts = np.flatnonzero(at_bound[:-1])
+    rows = np.searchsorted(bounds, starts, side="right") - 1
+    lengths: dict = {}
+    for own in index.shorts:
+        lengths.setdefault(len(own) // 4, []).append(np.frombuffer(own, np.uint32))
+    for n, items in lengths.items():
+        fits = starts + n <= bounds[rows + 1]
+        begin, row = starts[fits], rows[fits]
+        ends = at_bound[begin + n]
+        begin, row = begin[ends], row[ends]
+        names = np.array([tk.span_hashes(x, np.array([0]), np.array([n]))[0] for x in items])
+        same = np.isin(tk.span_hashes(codes, begin, begin + n), names)
+        for b, r in zip(begin[same].tolist(), row[same].tolist(), strict=True):
+            for it in index.shorts.get(codes[b : b + n].astype(np.uint32).tobytes(), ()):
+                yield r, len(index.ids) + it, b - int(bounds[r]), b - int(bounds[r]) + n, 0
+
+
+def between(own: Windows, pattern: np.ndarray, text: np.ndarray, places: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int] | None:
+    """The first window of an item that is within its edits of a piece of
+    ``text``, by shared q-grams of one band: (begin, end, edits). A window that is
+    ``d`` edits over its budget rules out the next ``d - 1``."""
+    places = np.sort(places)
+    begins = np.arange(len(own))
+    hits = np.searchsorted(places, begins + own.length - Q, side="right") - np.searchsorted(places, begins)
+    low, high = int(diagonals.min()) - own.edits - OVER, int(diagonals.max()) + own.edits + OVER
+    after = 0
+    for b in np.flatnonzero(hits >= own.need).tolist():
+        if b < after:
+            continue
+        found = banded_distance(pattern[b : b + own.length], text, low + b, high + b, own.edits + OVER)
+        if found and found[0] <= own.edits:
+            return max(found[1], 0), found[2], found[0]
+        after = b + (found[0] - own.edits if found else OVER + 1)
+    return None
 
-def regions(index: Index, hit: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-    """(row, item, begin, end, edits) of every window found in each text;
-    places are code points of the normalised text."""
-    codes, bounds = normal_codes(data, offsets)
+
+def regions(index: Index, hit: np.ndarray, codes: np.ndarray, bounds: np.ndarray):
+    """(row, item, begin, end, edits) of windows found in each text: of all that
+    are half a window apart, or if an item has none of these there, of one
+    between them. Places are code points of the normalised text."""
     g = grams(codes)
-    if not len(g):
+    if not len(g) or not len(index.ids):
         return
     mask = hit[(tk.mix(g) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
     total = np.concatenate(([0], np.cumsum(mask)))
@@ -185,18 +274,20 @@ def regions(index: Index, hit: np.ndarray, data: np.ndarray, offsets: np.ndarray
     shift = max(len(c) for c in index.codes) + 2
     base = (row * len(index.ids) + item) * deep + band + shift
     keys, inverse, counts = np.unique(np.concatenate((base, base - 1)), return_inverse=True, return_counts=True)
-    least = np.array([min(w[3] for w in own) for own in index.windows])
+    least = np.array([own.need for own in index.windows])
     kept = np.flatnonzero(counts >= least[(keys // deep) % len(index.ids)])
     if not len(kept):
         return
     order = np.argsort(inverse, kind="stable")
     begins = np.concatenate(([0], np.cumsum(counts)))
-    done = set()
+    done, seen, left = set(), set(), []
     for k in kept:
         members = order[begins[k] : begins[k + 1]] % len(base)
         r, it = int(row[members[0]]), int(item[members[0]])
         text = codes[bounds[r] : bounds[r + 1]]
-        for b, w, e, need in index.windows[it]:
+        if len(index.windows[it]) > 1:
+            left.append((r, it, members))
+        for b, w, e, need in index.windows[it].marks():
             own = members[(place[members] >= b) & (place[members] <= b + w - Q)]
             if len(own) < need:
                 continue
@@ -211,14 +302,21 @@ def regions(index: Index, hit: np.ndarray, data: np.ndarray, offsets: np.ndarray
                 found = result and (result[0], max(result[1], 0), result[2])
             if found and found[0] <= e and (r, it, b, found[1]) not in done:
                 done.add((r, it, b, found[1]))
+                seen.add((r, it))
                 yield r, it, found[1], found[2], found[0]
+    for r, it, members in left:
+        if (r, it) not in seen and (found := between(index.windows[it], index.codes[it], codes[bounds[r] : bounds[r + 1]], place[members], diagonal[members])):
+            seen.add((r, it))
+            yield r, it, *found
 
 
 def _scan(index: Index, hit: np.ndarray, column):
     data, offsets = tk.buffers(column)
     for lo, hi in tk.chunks(offsets):
-        for r, *rest in regions(index, hit, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
-            yield lo + r, *rest
+        codes, bounds = normal_codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        for find in (regions(index, hit, codes, bounds), whole(index, codes, bounds)):
+            for r, *rest in find:
+                yield lo + r, *rest
 
 
 def _indexes(benchmark: DataFrame, window: int, edits: float):
@@ -236,12 +334,14 @@ def _indexes(benchmark: DataFrame, window: int, edits: float):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: float = EDITS) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id,
-    n_windows, edits (least of a window), begin and end (code points of the
-    normalised text that the windows cover).
-
-    Null, empty and short texts hold nothing. Null ids of documents are kept;
-    repeated rows are each reported. Items with a null or under LEAST_CHARS
-    characters are not searched for, repeated items once. An empty table on
+    n_windows (found half a window apart, else 1; places of a short item), edits
+    (least of a window), begin and end (code points of the normalised text that
+    the windows cover).
+
+    Null and empty texts hold nothing. Null ids of documents are kept; repeated
+    rows are each reported. Items with a null or only white space are not
+    searched for, repeated items once; those under LEAST_CHARS characters are
+    found where a text holds them without edits between bounds of words. An empty table on
     either side gives an empty result. Further columns are not read."""
     source = docs.select("doc_id", F.col("text").alias("_text"))
     schema = "doc_id long, item_id long, n_windows long, edits int, begin long, end long"
@@ -258,8 +358,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: fl
                     n, least, lo, hi = found.get((r, it), (0, e, begin, end))
                     found[r, it] = (n + 1, min(least, e), min(lo, begin), max(hi, end))
                 if found:
-                    ids = batch.column("doc_id").to_pylist()
-                    rows = [(ids[r], index.ids[it], *v) for (r, it), v in found.items()]
+                    ids, names = batch.column("doc_id").to_pylist(), index.ids + index.short_ids
+                    rows = [(ids[r], names[it], *v) for (r, it), v in found.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "n_windows", "edits", "begin", "end"])
 
         part = source.mapInArrow(run, schema)

@@ -235,3 +235,20 @@ def test_words_and_shingles():
         got[r].append(bytes(data[s:e]).decode())
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     assert list(tk.chunks(np.array([0, 3, 3, 900, 901]), 10)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_leaks_do_not_depend_on_alignment(spark):
+    """Pieces of a window's length from any place of an item, with and without edits, and short items."""
+    pick = random.Random(11)
+    make = lambda n: "".join(pick.choice("abcdefghijklmno") for _ in range(n))
+    item = make(400)
+    items = [(1, item), (2, "What is six  by Seven?"), (3, "42"), (4, "日本"), (5, " ")]
+    pieces = [make(80) + item[b : b + 120] + make(80) for b in (0, 8, 29, 31, 95, 210, 271)]
+    pieces += [make(80) + item[b : b + 40] + "#" + item[b + 41 : b + 80] + "%%" + item[b + 82 : b + 120] + make(80) for b in (28, 150, 211)]
+    texts = pieces + ["(what is SIX by\nseven?)", "x42 420 4242", "it is 42.", "42", "これは日本です", "a " + item[30:120] + " b"]
+    want = {(i, 1) for i in range(len(pieces))} | {(10, 2), (12, 3), (13, 3), (14, 4)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(table(spark, texts), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(r.edits <= 7 and min(r.end, 200) - max(r.begin, 80) >= 106 for r in found if r.doc_id < 7), found
+    assert {r.doc_id for r in decontaminate.without_leaks(table(spark, texts), benchmark.where("item_id > 1")).collect()} == set(range(16)) - {10, 12, 13, 14}
