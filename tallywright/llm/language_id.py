@@ -21,19 +21,21 @@ from . import textkernel as tk
 from .runtime import bucket, table
 
 GRAMS, DIM_BITS, BATCH = 4, 15, 32
-#: Texts of each language that a model is fitted on, landmarks among them, and the most languages.
-PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES, SAMPLE_CHARS = 500, 40, 64, 20_000
+#: Texts of each language that a model is fitted on, landmarks among them, and the characters read of a text of them.
+PER_LANGUAGE, LANDMARKS, SAMPLE_CHARS = 500, 40, 20_000
+#: Texts, and landmarks, over all languages, while each language keeps LEAST of either.
+TEXTS, POINTS, LEAST = 32_000, 2_560, 4
 UNKNOWN = "und"
 
 _tables: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Lower-case code point of each letter of the basic plane, else 0."""
+    """Lower-case code point of each letter, else 0."""
     if not _tables:
-        out = np.zeros(1 << 16, dtype=np.uint32)
-        for i in range(1 << 16):
-            if not 0xD800 <= i <= 0xDFFF and chr(i).isalpha():
+        out = np.zeros(0x110000, dtype=np.uint32)
+        for i in range(0x110000):
+            if chr(i).isalpha():
                 low = chr(i).lower()
                 out[i] = ord(low) if len(low) == 1 else i
         _tables.append(out)
@@ -50,7 +52,7 @@ def presence(data: np.ndarray, offsets: np.ndarray):
         codes = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         heads = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
         at = heads[offsets[lo : hi + 1] - offsets[lo]]
-        codes = np.where(codes < (1 << 16), letters[codes & 0xFFFF], codes)
+        codes = letters[codes]
         rows = np.repeat(np.arange(hi - lo), np.diff(at))
         keep = codes != 0
         keep[1:] |= (codes[:-1] != 0) & (rows[1:] == rows[:-1])  # one space after a word
@@ -120,24 +122,27 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def fit_from_table(docs: DataFrame) -> KernelModel | None:
-    """Fit on about PER_LANGUAGE texts (of at most SAMPLE_CHARS characters) of
-    each of the MOST_LANGUAGES most frequent values of ``lang`` in ``docs``,
-    chosen by a hash of doc_id. Rows with a null are left out."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    """Fit on about PER_LANGUAGE texts (the first SAMPLE_CHARS characters of
+    each) of every value of ``lang`` in ``docs``, chosen by a hash of doc_id; with
+    many languages on fewer of each. Rows with a null are left out."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20))
-    use = F.lit(False)
-    for lang, count in counts:
-        use = use | ((F.col("lang") == lang) & (share < int((1 << 20) * min(1.0, 1.2 * PER_LANGUAGE / count)) + 1))
-    sample = known.where(use).select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()
+    each = max(LEAST, min(PER_LANGUAGE, TEXTS // len(counts)))
+    points = max(LEAST, min(LANDMARKS, POINTS // len(counts)))
+    # Hashes below the language's bound; enough more that hardly a language gets fewer than it could.
+    bounds = [(lang, int((1 << 62) * min(1.0, (1.2 * each + 20) / n))) for lang, n in counts]
+    bound = docs.sparkSession.createDataFrame(bounds, "lang string, _bound long")
+    share = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 62))
+    drawn = known.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id").join(F.broadcast(bound), "lang").where(share <= F.col("_bound"))
+    sample = drawn.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()
     taken, by = [], {}
     for row in sorted(sample, key=lambda r: (r.h, r.text)):
         by[row.lang] = by.get(row.lang, 0) + 1
-        if by[row.lang] <= PER_LANGUAGE:
+        if by[row.lang] <= each:
             taken.append(row)
-    return fit([r.text for r in taken], [r.lang for r in taken])
+    return fit([r.text for r in taken], [r.lang for r in taken], points)
 
 
 def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:

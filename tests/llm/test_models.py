@@ -153,3 +153,26 @@ def test_losses_equal_brute_force_over_many_ngrams(spark, bits):
         by = {(r.doc_id): r["loss_target" if model else "loss_background"] for r in got}
         for i, t in rows[::10] + rows[-5:]:
             assert by[i] == (pytest.approx(loss(t), rel=1e-9) if t else None)
+
+
+def test_signs_beyond_the_basic_plane_are_no_letters(spark):
+    df = docs(spark, [(text(EN), "en"), (text(DE), "de"), ("\U0001F600 \U0001F600", None), ("\U0001F600\U0001F4A9 7", None), ("\U00020000", None)])
+    model = language_id.fit_from_table(df)
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (2, 3)] == [("und", 0.0)] * 2 and got[4].lang_pred != "und"
+    pure, mixed = (language_id.presence(*language_id.tk.buffers(language_id.pa.array([t]))) for t in ("the house", "the \U0001F600 house"))
+    assert (next(pure)[1] == next(mixed)[1]).all()
+
+
+def test_every_language_can_be_predicted(spark):
+    """More than 64 languages, a rare one, and one of long texts only."""
+    words = {f"l{k:02}": ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(75)}
+    rows = [(text(own, 12), lang) for lang, own in words.items() for _ in range(6)]
+    long, rare = ["qxz", "zxq", "xxqz"], ["äöü", "üöä", "öäü"]
+    rows += [(text(long, 7000), "long"), (text(rare), "rare"), (text(long), None), (text(rare), None)]
+    df = docs(spark, rows)
+    model = language_id.fit_from_table(df)
+    assert model.languages == sorted([*words, "long", "rare"])
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    assert got[len(rows) - 2] == "long" and got[len(rows) - 1] == "rare"
+    assert sum(got[i] == lang for i, (_, lang) in enumerate(rows[:-2])) >= len(rows) - 12
