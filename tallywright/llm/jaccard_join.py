@@ -197,8 +197,13 @@ def linked(pairs: DataFrame, docs: DataFrame, shared, words: int = WORDS, percen
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    sets = source.join(small(ids), "doc_id", "left_semi").mapInArrow(segments, "id long, fragment int, segment binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(small(ids), "doc_id", "left_semi")
+    again = cut(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if not again.isEmpty():  # one row of each id, so that no fragment counts twice
+        again = small(again)
+        once = source.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_text").alias("_text"))
+        source = source.join(again, "doc_id", "left_anti").unionByName(once)
+    sets = source.mapInArrow(segments, "id long, fragment int, segment binary")
     sets = cut(sets)
     first = pairs.join(sets.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("x")), "a")
     second = first.join(sets.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])

@@ -252,3 +252,20 @@ def test_leaks_do_not_depend_on_alignment(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want
     assert all(r.edits <= 7 and min(r.end, 200) - max(r.begin, 80) >= 106 for r in found if r.doc_id < 7), found
     assert {r.doc_id for r in decontaminate.without_leaks(table(spark, texts), benchmark.where("item_id > 1")).collect()} == set(range(16)) - {10, 12, 13, 14}
+
+
+def test_repeated_rows_make_no_false_link(spark):
+    """Pairs just under the threshold, some of which pass the odd sketches, with their rows repeated."""
+    pick, texts = random.Random(17), []
+    for _ in range(40):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(200)]
+        near = list(words)
+        for i in (40, 80, 120, 160):
+            near[i] = f"x{pick.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(near)]
+    docs = table(spark, texts)
+    want = brute_components(enumerate(texts))
+    assert len({c for _, _, c in want}) == len(texts)
+    got = jaccard_join.jaccard_components(docs.union(docs))
+    rows = [tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()]
+    assert set(rows) == want and len(rows) == 2 * len(texts)
