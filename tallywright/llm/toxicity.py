@@ -4,11 +4,13 @@ Confirmed toxic texts are the positives; other texts, whatever they are, are
 unlabelled. A linear classifier on the presence of words and word beginnings is
 fitted by the risk
 
-    prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
+    prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)) + cost * |weights|
 
 (Kiryo et al. 2017): the second term is the class-prior-corrected risk of the
 negatives, which must not fall below zero; where it does, its gradient is
-reversed. Scores are sigmoids of the linear function over the whole text.
+reversed. The last term leaves a feature out unless it lowers the risk by more
+than it costs; no list of words and no other test chooses them. Scores are
+sigmoids of the linear function over the whole text.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .runtime import bucket, table
 
 #: Most texts of each kind that a model is fitted on, and the longest of them.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 2000, 5000, 30_000
-FEATURES = 4096
-CUE_SHARE = 0.01
+#: A feature must occur in as many texts of the sample.
+SUPPORT = 5
+NOISE, ROUNDS, DECAY = 1.2, 4, 1e-4
 THRESHOLD = 0.5
 BEGINNINGS = (4, 5, 6)
 HASH_BITS = 22
@@ -52,8 +55,9 @@ def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(found), np.tile(rows, len(found))
 
 
-def _sets(texts: list[str]) -> list[np.ndarray]:
-    data, offsets = tk.buffers(pa.array(texts, pa.large_string()))
+def feature_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct features of each text."""
+    data, offsets = tk.buffers(column)
     out: list[np.ndarray] = []
     for lo, hi in tk.chunks(offsets):
         h, rows = feature_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -67,50 +71,88 @@ def _unlike(sets: list[np.ndarray]) -> list[np.ndarray]:
     return list({x[:3].tobytes(): x for x in sets if len(x)}.values())
 
 
-def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, features: int = FEATURES, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> PuModel:
-    """Fit on texts in memory. Deterministic; order and repeats don't matter
-    much, since near copies count once. Without positives or unlabelled texts
-    every text gets a score below 0.5."""
-    pos, unl = _unlike(_sets(positive)), _unlike(_sets(unlabelled))
-    if not pos or not unl:
-        return PuModel(np.empty(0, np.uint64), np.empty(0, np.float32), -4.0, prior)
-    hashes, of_pos = np.unique(np.concatenate(pos), return_counts=True)
-    seen, of_unl = np.unique(np.concatenate(unl), return_counts=True)
-    at = np.searchsorted(seen, hashes).clip(max=len(seen) - 1)
-    of_unl = np.where(seen[at] == hashes, of_unl[at], 0)
-    p, u = of_pos / len(pos), of_unl / len(unl)
-    # The unlabelled texts hold about prior * p by themselves.
-    rest = np.maximum(u - prior * p, 0)
-    z = (p - rest) / np.sqrt((rest + 1 / len(unl)) * (1 / len(pos) + 1 / len(unl)))
-    # A cue occurs in a hundredth of the positives, and far more often than elsewhere.
-    use = (of_pos >= max(min(5, len(pos) // 8 + 1), CUE_SHARE * len(pos))) & (z > 6) & (p > 8 * rest)
-    chosen = np.flatnonzero(use)[np.argsort(-z[use], kind="stable")[:features]]
-    names = np.sort(hashes[chosen])
-
-    def matrix(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(names) + 1), dtype=np.float32)
-        out[:, -1] = 1
-        for i, x in enumerate(sets):
-            if len(names):
-                j = np.searchsorted(names, x).clip(max=len(names) - 1)
-                out[i, j[names[j] == x]] = 1
+class Presence:
+    """Texts by features, as the places of its ones."""
+
+    def __init__(self, sets: list[np.ndarray], names: np.ndarray):
+        found = []
+        for x in sets if len(names) else [names] * len(sets):
+            j = np.searchsorted(names, x).clip(max=max(len(names) - 1, 0))
+            found.append(j[names[j] == x])
+        self.shape = (len(sets), len(names))
+        self.columns = np.concatenate([*found, np.empty(0, np.int64)])
+        self.rows = np.repeat(np.arange(len(sets)), [len(x) for x in found])
+
+    def only(self, use: np.ndarray) -> Presence:
+        out, keep = object.__new__(Presence), use[self.columns]
+        out.shape = (self.shape[0], int(use.sum()))
+        out.columns, out.rows = (np.cumsum(use) - 1)[self.columns[keep]], self.rows[keep]
         return out
 
-    xp, xu = matrix(pos), matrix(unl)
-    w = np.zeros(len(names) + 1, dtype=np.float32)
-    w[-1] = -1
+    def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.rows, weights[self.columns], self.shape[0]) + bias
+
+    def back(self, by_row: np.ndarray) -> np.ndarray:
+        """Sums per feature, and of all rows."""
+        return np.append(np.bincount(self.columns, by_row[self.rows], self.shape[1]), by_row.sum())
+
+
+def risk(pos: Presence, unl: Presence, prior: float, weights: np.ndarray, bias: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk of positives and corrected risk of negatives, by logistic loss
+    (-log s for label +1, -log(1 - s) for -1), and the gradient of each."""
+    fp, fu = pos.margins(weights, bias), unl.margins(weights, bias)
+    sp, su = (1 / (1 + np.exp(-f.clip(-60, 60))) for f in (fp, fu))
+    positive = prior * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return positive, negative, pos.back(prior * (sp - 1) / len(sp)), unl.back(su / len(su)) - pos.back(prior * sp / len(sp))
+
+
+def _descend(pos: Presence, unl: Presence, prior: float, w: np.ndarray, steps: int, rate: float, cost: np.ndarray, decay: float = 0.0) -> np.ndarray:
+    """Weights and bias from ``w`` on, by Adam with a proximal step for the cost of weights."""
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
-        # Logistic loss: -log s for label +1, -log(1 - s) for label -1.
-        negative = -np.log1p(-su.clip(max=1 - 1e-6)).mean() + prior * np.log1p(-sp.clip(max=1 - 1e-6)).mean()
-        g_pos = prior * (xp.T @ (sp - 1)) / len(xp)
-        g_neg = (xu.T @ su) / len(xu) - prior * (xp.T @ sp) / len(xp)
+        _, negative, g_pos, g_neg = risk(pos, unl, prior, w[:-1], w[-1])
         grad = g_pos + g_neg if negative >= 0 else -g_neg
-        grad = grad + decay * np.append(w[:-1], 0).astype(np.float32)
+        grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return PuModel(names, w[:-1].astype(np.float32), float(w[-1]), prior)
+        step = rate * (1 - 0.9 * t / steps) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - step * m / (1 - 0.9**t)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step[:-1] * cost, 0)
+    return w
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 60, rate: float = 0.1, noise: float = NOISE, support: int = SUPPORT) -> PuModel:
+    """Fit on the feature sets of two samples. Order and repeats don't matter
+    much, since near copies count once. Without positives or unlabelled texts
+    every text gets a score below 0.5.
+
+    The cost of a weight is the gradient that chance alone gives to some feature
+    of that frequency: ``noise * prior * sqrt(log(features) * share / positives)``.
+    Features come in when their gradient exceeds it, and leave at weight zero, so
+    that most never take part. Those chosen are fitted again without the cost."""
+    pos, unl = _unlike(positive), _unlike(unlabelled)
+    if not pos or not unl:
+        return PuModel(np.empty(0, np.uint64), np.empty(0, np.float32), -4.0, prior)
+    hashes, count = np.unique(np.concatenate(pos + unl), return_counts=True)
+    names = hashes[count >= min(support, len(pos) // 8 + 1)]
+    xp, xu = Presence(pos, names), Presence(unl, names)
+    w = np.append(np.zeros(len(names)), np.log(prior / (1 - prior)))
+    use = np.zeros(len(names), dtype=bool)
+    share = (np.bincount(xu.columns, minlength=len(names)) + 1) / (len(unl) + 1)
+    cost = noise * prior * np.sqrt(np.log(len(names) + 1) * share / len(pos))
+    for _ in range(ROUNDS):
+        _, _, g_pos, g_neg = risk(xp, xu, prior, w[:-1], w[-1])
+        more = ~use & (np.abs(g_pos + g_neg)[:-1] > cost)
+        if not more.any():
+            break
+        use |= more
+        at = np.append(use, True)
+        w[at] = _descend(xp.only(use), xu.only(use), prior, w[at], steps, rate, cost[use])
+        use &= w[:-1] != 0
+    at = np.append(use, True)
+    w[at] = _descend(xp.only(use), xu.only(use), prior, w[at], 4 * steps, rate, 0 * cost[use], DECAY)
+    chosen = w[:-1] != 0
+    return PuModel(names[chosen], w[:-1][chosen].astype(np.float32), float(w[-1]), prior)
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
@@ -118,16 +160,29 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
     marks toxic and SAMPLE_UNLABELLED others, of at most SAMPLE_CHARS
     characters, in the order of a hash of their id. ``labels`` must hold only
     the rows that may be learnt from; the prior is the share of toxic ones
-    among them. Rows with a null id or mark are left out."""
+    among them. Rows with a null id or mark are left out. Tasks make the feature
+    sets; only these come to the driver."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     share = marks.agg(F.avg("toxic")).first()[0]
     prior = min(0.6, max(0.005, share or 0.005))
     order = F.xxhash64("doc_id", F.lit(10))
     toxic = marks.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE_POSITIVE)
-    known = F.length("text") <= SAMPLE_CHARS
-    take = lambda ids: [r[0] for r in docs.join(F.broadcast(ids), "doc_id", "left_semi").where(known).select("text").collect()]
     other = docs.where(F.col("doc_id").isNotNull() & (bucket(F.col("doc_id"), 5) != 0)).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_UNLABELLED)
-    return fit_nnpu(take(toxic), take(other), prior)
+    sample = toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
+
+    def sets(batches):
+        for batch in batches:
+            found = pa.array([x.tobytes() for x in feature_sets(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), found], names=["positive", "features"])
+
+    rows = texts.select("positive", "text").mapInArrow(sets, "positive boolean, features binary").toArrow()
+    kinds = np.array(rows.column("positive").to_pylist(), dtype=bool)
+    found = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("features")]
+    model = fit_nnpu([x for x, k in zip(found, kinds, strict=True) if k], [x for x, k in zip(found, kinds, strict=True) if not k], prior)
+    del rows, found
+    tk.release()
+    return model
 
 
 class Scorer:
@@ -154,7 +209,7 @@ class Scorer:
 def score(docs: DataFrame, model: PuModel) -> DataFrame:
     """doc_id, score and predicted for every row and its whole text. Null and
     empty texts have no feature and get the score of the bias; repeated rows and
-    null ids are scored each; an empty table gives an empty result. Further
+    null ids are scored each, equal texts alike; an empty table gives an empty result. Further
     columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -182,4 +237,4 @@ def without_toxic(docs: DataFrame, model: PuModel) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_from_tables(docs, labels.where(bucket(F.col("doc_id"), 5) != 0))
-    return score(docs, model).withColumn("held_out", bucket(F.col("doc_id"), 5) == 0)
+    return score(docs, model).withColumn("held_out", F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False)))

@@ -85,11 +85,46 @@ def test_toxicity_edge_cases(spark):
     assert kept.collect() == df.collect() and kept.columns == df.columns
 
 
+def test_toxicity_ties_repeats_and_null_ids(spark):
+    rows = [(i, text(EN, 12, ["nastyword"] if i % 3 == 0 else ())) for i in range(90)]
+    df = spark.createDataFrame([*rows, rows[0], (None, rows[0][1]), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.fit_from_tables(df, labels)).collect()
+    assert len(got) == 93 and len({r.score for r in got if r.doc_id in (0, None)} - {got[-1].score}) == 1
+    assert sum(r.predicted for r in got) == 32
+
+
+def test_risk_and_gradient_equal_brute_force():
+    """Against sums over plain sets, and differences of the risk."""
+    rng = np.random.default_rng(2)
+    names = np.arange(1, 9, dtype=np.uint64)
+    sets = [[np.sort(rng.choice(names, rng.integers(1, 6), replace=False)) for _ in range(n)] for n in (7, 15)]
+    pos, unl = (toxicity.Presence(x, names) for x in sets)
+    w, prior = rng.normal(size=9), 0.3
+
+    def plain(w):
+        f = [[sum(w[int(j) - 1] for j in x) + w[-1] for x in kind] for kind in sets]
+        loss = lambda values, y: np.mean([np.log1p(np.exp(-y * v)) for v in values])
+        return prior * loss(f[0], 1), loss(f[1], -1) - prior * loss(f[0], -1)
+
+    positive, negative, g_pos, g_neg = toxicity.risk(pos, unl, prior, w[:-1], w[-1])
+    assert (positive, negative) == pytest.approx(plain(w))
+    for j in range(9):
+        d = np.zeros(9)
+        d[j] = 1e-5
+        up, down = plain(w + d), plain(w - d)
+        assert (g_pos[j], g_neg[j]) == pytest.approx(((up[0] - down[0]) / 2e-5, (up[1] - down[1]) / 2e-5), abs=1e-6)
+
+
 def test_risk_of_negatives_stays_non_negative():
     """Where the unlabelled texts are all positive, the model doesn't call them negative at any price."""
-    same = [text(EN, 20, ["cue"]) + f" w{i}" for i in range(60)]
+    import pyarrow as pa
+
+    same = toxicity.feature_sets(pa.array([text(EN, 20, ["cue"]) + f" w{i}" for i in range(60)]))
     model = toxicity.fit_nnpu(same, same, prior=0.5)
     assert np.isfinite(model.weights).all() and np.isfinite(model.bias)
+    pos = toxicity.Presence(same, model.features)
+    assert toxicity.risk(pos, pos, 0.5, model.weights.astype(float), model.bias)[1] > -0.1
 
 
 # Language models
