@@ -108,22 +108,45 @@ def test_jaccard_components(spark):
     assert {tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()} == brute_components(enumerate(texts))
 
 
-def test_prefix_pairs_alone_lose_nothing(spark):
-    """Without the hubs' links the prefixes still lead to every link."""
+@pytest.mark.parametrize("block", [3, 2048])
+def test_prefix_pairs_alone_lose_nothing(spark, monkeypatch, block):
+    """Without the hubs' links the prefixes still lead to every link, in blocks of any size."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     texts = near_copies()
     docs = table(spark, texts)
     shared = spark.sparkContext.broadcast(jaccard_join.GlobalOrder(jaccard_join.count_sketch(docs)))
     nodes = jaccard_join.signatures(docs, shared).where("n > 0").withColumnRenamed("doc_id", "id").withColumn("label", F.col("id")).cache()
-    pairs = jaccard_join.screened(jaccard_join.prefix_pairs(nodes), nodes)
+    entries = jaccard_join.prefix_entries(nodes).cache()
+    pairs = jaccard_join.screened(jaccard_join.entry_pairs(entries, nodes, False), nodes).cache()
+    nearest = {tuple(r) for r in jaccard_join.entry_pairs(entries, nodes, True).collect()}
+    assert nearest <= {tuple(r) for r in jaccard_join.entry_pairs(entries, nodes, False).collect()}
     found = connected(jaccard_join.linked(pairs, docs, shared).select("a", "b"))
     want = {(i, c) for i, n, c in brute_components(enumerate(texts)) if n}
     got = {r.id: r.label for r in found.collect()}
     assert {(i, got.get(i, i)) for i, _ in want} == want
 
 
+def test_large_group_of_near_copies(spark):
+    """2,000 near copies, and as many texts that share half of their words: pairs stay linear in them."""
+    base, other = prose(120), prose(60)
+    texts = [edited(base, random.randrange(5)) for _ in range(2000)] + [other + " " + prose(60) for _ in range(500)]
+    docs = table(spark, texts)
+    shared = spark.sparkContext.broadcast(jaccard_join.GlobalOrder(jaccard_join.count_sketch(docs)))
+    nodes = jaccard_join.signatures(docs, shared).withColumnRenamed("doc_id", "id").dropDuplicates(["digest"]).cache()
+    hubs = jaccard_join.hub_pairs(nodes)
+    assert hubs.count() <= 4 * len(texts)
+    links = jaccard_join.linked(jaccard_join.screened(hubs, nodes), docs, shared).select("a", "b").cache()
+    marked = jaccard_join.labelled(nodes, links).cache()
+    entries = jaccard_join.prefix_entries(marked).cache()
+    assert jaccard_join.entry_pairs(entries, marked, True).count() <= 2 * entries.count()
+    assert jaccard_join.entry_pairs(entries, marked, False).count() <= 10 * len(texts)
+
+
 def test_jaccard_edge_cases(spark):
     assert jaccard_join.jaccard_components(table(spark, [])).count() == 0
     assert {tuple(r) for r in jaccard_join.jaccard_components(table(spark, [None, "", "x"])).collect()} == {(0, 0, 0), (1, 0, 1), (2, 1, 2)}
+    nulls = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (9, "A b c d")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.jaccard_components(nulls).collect()), key=str) == [(4, 1, 4), (9, 1, 4), (None, 1, None), (None, 1, None)]
 
 
 def test_components(spark):
