@@ -34,7 +34,7 @@ from . import textkernel as tk
 from .runtime import table
 
 DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, CHUNK_BYTES = 2, 2 << 20
+SAMPLES, CHUNK_BYTES = 2, 1 << 20
 #: Siblings whose log-probability is below this can't be reached: a Gumbel of such height has a chance of about e**-40.
 DEEPEST = -40.0
 SPACE = "▁"
@@ -127,7 +127,8 @@ class PieceModel:
 
     @staticmethod
     def stand_in(text: str) -> str:
-        return next(c for c in map(chr, range(0xFDD0, 0xFDF0)) if c not in text)
+        """A character that the text lacks: a noncharacter, else one of private use."""
+        return next(c for c in map(chr, chain(range(0xFDD0, 0xFDF0), range(0xE000, 0xF900))) if c not in text)
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units, end to end, and where each begins."""
@@ -153,6 +154,16 @@ class PieceModel:
             ids[np.asarray(at, dtype=np.int64) + i] = b
         return ids
 
+    def with_bytes(self, ids: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """``ids`` with the byte pieces of a character in place of each -1."""
+        bare = np.flatnonzero(ids < 0)
+        codes = [chr(c).encode("utf-8", "surrogatepass") for c in chars[bare].tolist()]
+        width = np.ones(len(ids), dtype=np.int64)
+        width[bare] = list(map(len, codes))
+        out, is_byte = np.repeat(ids, width), np.repeat(ids < 0, width)
+        out[is_byte] = self.byte[np.frombuffer(b"".join(codes), np.uint8)]
+        return out
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """UTF-8 of a text from its ids, without the space put before it."""
         if not len(ids):
@@ -190,19 +201,23 @@ class Lattice:
             found = key[near]
             j = np.searchsorted(model.keys, found).clip(max=len(model.keys) - 1)
             same = model.keys[j] == found
-            hits.append((at[near[same]], j[same]))
+            hits.append((at[near[same]], j[same].astype(np.int32)))
             going = (kind > 1) & (room > size)
             at, room = at[going], room[going]
             h = h[going] * _BASE + char[at + size] + np.uint64(1)
         most = max([size for size, (rows, _) in enumerate(hits, 1) if len(rows)], default=1)  # of the pieces that occur
         weight = np.full((most, n + most + 1), -np.inf, dtype=np.float32)
-        piece = np.zeros((most, n), dtype=np.int32)
+        small = len(model.pieces) < 1 << 15
+        piece = np.zeros((most, n), dtype=np.int16 if small else np.int32)
         for size, (rows, j) in enumerate(hits[:most]):
             weight[size, rows], piece[size, rows] = model.weights[j], model.ids[j]
+        del hits, at, room, h, key, kind, near, found, j, same, going
         bare = inner[np.isneginf(weight[0, inner])]
         wide = 1 + (char[bare] >= 0x80).astype(int) + (char[bare] >= 0x800) + (char[bare] >= 0x10000)
         weight[0, bare] = wide * model.byte_weight
-        piece[0, bare] = np.where(wide == 1, model.byte[char[bare].astype(np.int64) & 0x7F], -char[bare].astype(np.int64))
+        #: A character without a piece of its own is -1 here and goes as bytes.
+        piece[0, bare], self.char = -1, char.astype(np.uint32)
+        del char, wide
         # Log-probability of all ways to a unit's end, from the states nearest to it on.
         beta = np.full(n + most + 1, -np.inf, dtype=np.float32)
         beta[ends] = 0
@@ -217,6 +232,7 @@ class Lattice:
                 top = value.max(axis=0)
                 beta[rows] = top + np.log(np.exp(value - top).sum(axis=0))
         beta[~np.isfinite(beta)] = 0
+        del order, distance, inner, end
         log = weight[:, :n]
         total, best, others = (np.zeros(n, dtype=np.float32) for _ in range(3))
         sums = np.empty((n, most), dtype=np.float32)
@@ -389,9 +405,9 @@ def _sample(model: PieceModel, lattice: Lattice, occ: np.ndarray, bounds: np.nda
     for d in range(n):
         kappa = -frontier[d][0][0] if frontier[d] else -np.inf
         for path, log, value in leaves[d]:
-            ids = lattice.piece[path[1], path[2]]
+            ids = lattice.piece[path[1], path[2]].astype(np.int32)
             if (ids < 0).any():
-                ids = np.concatenate([model.byte[list(chr(-i).encode("utf-8", "surrogatepass"))] if i < 0 else np.array([i], np.int32) for i in ids.tolist()])
+                ids = model.with_bytes(ids, lattice.char[path[1]])
             x = log - kappa
             inclusion = 0.0 if np.isinf(kappa) else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x
             out[d].append((ids, log, value, min(inclusion, 0.0)))
@@ -435,7 +451,7 @@ def segmentations(docs: DataFrame, samples: int = SAMPLES, model_path: str | Non
                 tk.release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    return source.mapInArrow(run, "doc_id long, sample int, n_pieces int, ids binary, log_prob double, perturbed double, log_inclusion double, restored boolean")
+    return source.mapInArrow(tk.tidy(run), "doc_id long, sample int, n_pieces int, ids binary, log_prob double, perturbed double, log_inclusion double, restored boolean")
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int32()), ("ids", pa.binary()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("restored", pa.bool_())])

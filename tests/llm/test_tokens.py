@@ -215,3 +215,17 @@ def test_every_license_of_a_block_is_confirmed(spark):
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.begin)
         assert [r.license for r in own] == want and all(r.confirmed and r.same == 1 and not r.missing for r in own)
         assert all(a.end <= b.begin for a, b in zip(own, own[1:], strict=False)) and own[-1].end <= len(text)
+
+
+def test_every_noncharacter_in_a_text(spark):
+    """A stand-in for U+2581 is found in a text that holds all noncharacters, and comes back as it was."""
+    text = "\u2581 a " + "".join(map(chr, range(0xFDD0, 0xFDF0))) + " \u2581b"
+    rows = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    got = sentencepieces.segmentations(rows).collect()
+    assert all(r.restored for r in got) and len({(r.doc_id, r.sample, bytes(r.ids)) for r in got}) == 6
+
+
+def test_bytes_stand_for_bare_characters():
+    model = sentencepieces.piece_model()
+    chars = np.array([0x61, 0x1F600, 0xE9], np.uint32)
+    assert model.with_bytes(np.array([7, -1, -1], np.int32), chars).tolist() == [7, *model.byte[list("\U0001F600\u00e9".encode())].tolist()]
