@@ -362,7 +362,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: fl
                     rows = [(ids[r], names[it], *v) for (r, it), v in found.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "n_windows", "edits", "begin", "end"])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(tk.tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -381,7 +381,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, e
                     clean[r] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tk.tidy(run), docs.schema)
     return docs
 
 

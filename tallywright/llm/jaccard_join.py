@@ -47,6 +47,8 @@ SKETCH_BITS, BLOCK_BITS, LEVELS = 21, 15, 64
 HUBS = 4
 #: Bits of the sketch that goes with an entry of a posting list, and most entries of a block.
 FOLD_BITS, BLOCK = 512, 2048
+#: Most entries that go to the JVM at once.
+BATCH_ROWS = 50_000
 #: Rounds of most similar partners before all pairs that are left.
 NEAREST_ROUNDS = 2
 
@@ -97,8 +99,8 @@ def count_sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "dtype": [dtype], "data": pa.array([part.astype(dtype).tobytes()], pa.binary())})
 
     schema = "block int, dtype string, data binary"
-    parts = docs.select(F.col("text").alias("_text")).mapInArrow(tally, schema)
-    merged = parts.repartition(min(64, partitions(docs.sparkSession)), "block").mapInArrow(merge, schema)
+    parts = docs.select(F.col("text").alias("_text")).mapInArrow(tk.tidy(tally), schema)
+    merged = parts.repartition(min(64, partitions(docs.sparkSession)), "block").mapInArrow(tk.tidy(merge), schema)
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for block, dtype, data in merged.collect():  # at most 2**(SKETCH_BITS - BLOCK_BITS) rows
         total[block * width : (block + 1) * width] += np.frombuffer(bytes(data), dtype=dtype).astype(np.int64)
@@ -172,7 +174,7 @@ def screened(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
 
     nodes = nodes.select("id", "parity").join(members(pairs), "id", "left_semi")
     both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("parity").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("parity").alias("y")), "b")
-    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(tk.tidy(run), "a long, b long, na long, nb long")
 
 
 def signatures(docs: DataFrame, shared, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -200,7 +202,7 @@ def signatures(docs: DataFrame, shared, words: int = WORDS, percent: int = PERCE
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
     schema = "doc_id long, n long, digest binary, hubs array<long>, prefix binary, parity binary, fold binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(tk.tidy(run), schema)
 
 
 def members(pairs: DataFrame) -> DataFrame:
@@ -244,10 +246,10 @@ def linked(pairs: DataFrame, docs: DataFrame, shared, words: int = WORDS, percen
 
     ids = members(pairs).withColumnRenamed("id", "doc_id")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(ids, "doc_id", "left_semi")
-    sets = cut(source.mapInArrow(segments, "id long, fragment int, segment binary"))
+    sets = cut(source.mapInArrow(tk.tidy(segments), "id long, fragment int, segment binary"))
     first = pairs.join(sets.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("x")), "a")
     second = first.join(sets.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])
-    partial = second.select("a", "b", "na", "nb", "x", "y").mapInArrow(overlaps, "a long, b long, na long, nb long, common long")
+    partial = second.select("a", "b", "na", "nb", "x", "y").mapInArrow(tk.tidy(overlaps), "a long, b long, na long, nb long, common long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b", "common")
 
@@ -280,9 +282,10 @@ def prefix_entries(nodes: DataFrame) -> DataFrame:
                 continue
             ids, sizes, labels = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("id", "n", "label"))
             where = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "id": ids, "n": sizes.astype(np.int32), "place": where.astype(np.int32), "label": labels})
+            rows = pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "id": ids, "n": sizes.astype(np.int32), "place": where.astype(np.int32), "label": labels})
+            yield from (rows.slice(at, BATCH_ROWS) for at in range(0, rows.num_rows, BATCH_ROWS))
 
-    rows = nodes.select("id", "n", "label", "prefix").mapInArrow(postings, "token long, id long, n int, place int, label long")
+    rows = nodes.select("id", "n", "label", "prefix").mapInArrow(tk.tidy(postings), "token long, id long, n int, place int, label long")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     return rows.select("token", "id", "n", "place").join(mixed, "token")
 
@@ -373,7 +376,7 @@ def entry_pairs(entries: DataFrame, nodes: DataFrame, nearest: bool, percent: in
 
     key = ["token", "band", "p", "q"]
     sorted_lists = keyed.repartition(partitions(nodes.sparkSession), *key).sortWithinPartitions(*key, "label")
-    return sorted_lists.mapInArrow(pairs, "a long, b long, na long, nb long").distinct()
+    return sorted_lists.mapInArrow(tk.tidy(pairs), "a long, b long, na long, nb long").distinct()
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -76,6 +76,18 @@ def release() -> None:
         pass
 
 
+def tidy(run):
+    """``run``, a function over batches, that gives memory back when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

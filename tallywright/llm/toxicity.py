@@ -26,7 +26,7 @@ from . import textkernel as tk
 from .runtime import bucket, table
 
 #: Most texts of each kind that a model is fitted on, and the longest of them.
-SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 2000, 5000, 30_000
+SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 2000, 5000, 10_000
 #: A feature must occur in as many texts of the sample.
 SUPPORT = 5
 NOISE, ROUNDS, DECAY = 1.2, 4, 1e-4
@@ -78,10 +78,10 @@ class Presence:
         found = []
         for x in sets if len(names) else [names] * len(sets):
             j = np.searchsorted(names, x).clip(max=max(len(names) - 1, 0))
-            found.append(j[names[j] == x])
+            found.append(j[names[j] == x].astype(np.int32))
         self.shape = (len(sets), len(names))
-        self.columns = np.concatenate([*found, np.empty(0, np.int64)])
-        self.rows = np.repeat(np.arange(len(sets)), [len(x) for x in found])
+        self.columns = np.concatenate([*found, np.empty(0, np.int32)])
+        self.rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in found])
 
     def only(self, use: np.ndarray) -> Presence:
         out, keep = object.__new__(Presence), use[self.columns]
@@ -133,8 +133,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     pos, unl = _unlike(positive), _unlike(unlabelled)
     if not pos or not unl:
         return PuModel(np.empty(0, np.uint64), np.empty(0, np.float32), -4.0, prior)
-    hashes, count = np.unique(np.concatenate(pos + unl), return_counts=True)
-    names = hashes[count >= min(support, len(pos) // 8 + 1)]
+    every = np.sort(np.concatenate(pos + unl))
+    least = min(support, len(pos) // 8 + 1)
+    names = np.unique(every[least - 1 :][every[least - 1 :] == every[: len(every) - least + 1]])
+    del every
     xp, xu = Presence(pos, names), Presence(unl, names)
     w = np.append(np.zeros(len(names)), np.log(prior / (1 - prior)))
     use = np.zeros(len(names), dtype=bool)
@@ -176,7 +178,7 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
             found = pa.array([x.tobytes() for x in feature_sets(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("positive"), found], names=["positive", "features"])
 
-    rows = texts.select("positive", "text").mapInArrow(sets, "positive boolean, features binary").toArrow()
+    rows = texts.select("positive", "text").mapInArrow(tk.tidy(sets), "positive boolean, features binary").toArrow()
     kinds = np.array(rows.column("positive").to_pylist(), dtype=bool)
     found = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("features")]
     model = fit_nnpu([x for x, k in zip(found, kinds, strict=True) if k], [x for x, k in zip(found, kinds, strict=True) if not k], prior)
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: PuModel) -> DataFrame:
             out = scorer(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: PuModel) -> DataFrame:
@@ -231,7 +233,7 @@ def without_toxic(docs: DataFrame, model: PuModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
