@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from .rows import last_wins
 
 
 def null_safe_anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,9 +51,10 @@ def with_default(left: DataFrame, right: DataFrame, keys: list[str], defaults: d
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()} | {found: F.coalesce(F.col(found), F.lit(False))})
 
 
-def overridden(original: DataFrame, recovered: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """``flag`` of the recovered row where there is one, else the original's."""
-    new = recovered.select(*keys, F.col(flag).alias("_new"))
+def overridden(original: DataFrame, recovered: DataFrame, keys: list[str], flag: str, order: list[str] | None = None) -> DataFrame:
+    """``flag`` of the recovered row where there is one, else the original's. Of
+    several rows of a key the last in ``order`` counts (without: a true flag)."""
+    new = last_wins(recovered, keys, order or [flag]).select(*keys, F.col(flag).alias("_new"))
     return original.join(new, keys, "left").withColumn(flag, F.coalesce("_new", flag)).drop("_new")
 
 

@@ -27,8 +27,8 @@ def syntax_error(code: str | None) -> str | None:
         ast.parse(code or "")
     except SyntaxError as e:
         return f"SyntaxError: {e.msg} (line {e.lineno})"
-    except ValueError as e:
-        return f"ValueError: {e}"
+    except (ValueError, RecursionError, MemoryError) as e:  # the last two: nested too deep for the parser
+        return f"{type(e).__name__}: {e}"
     return None
 
 

@@ -83,8 +83,29 @@ LAW = '"physical_law": {"name": "N", "statement": "s", "formula": "f"}'
     ],
 )
 def test_recovery(raw, method, ok, partial):
-    found = recovery.recover(raw)
-    assert (found[0], found[1], found[2]) == (method, ok, partial)
+    found = recovery.repaired(raw)
+    assert (found.method, found.ok, found.partial) == (method, ok, partial)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("2*3", 6), ("-2 ** 2", -4), ("(-8) % 3", 1), ("7 // 2", 3), ("math.pi * 2", 6.283185307179586), ("Math.PI + 1", 4.141592653589793), ("sqrt(16)", 4.0), ("np.max(1, 2)", 2), ("pow(2, 3)", 8),
+        ("5 + 0", None), ("5 * 0", None), ("3000000*3000000", None), ("9**9**9", None), ("pow(10, 400)", None), ("2 ** -5000 + 1", None), ("1 if x else 2", None), ("True", True), ("open('x')", None), ("'a' * 3", None), ("", None),
+        ("(" * 2000 + "1" + ")" * 2000, None), ("+".join(["1"] * 5000), None), ("-0.5 + 2", 1.5),
+    ],
+)
+def test_arithmetic(text, value):
+    """No value where one of seven operations has none; never long, never a crash."""
+    found = recovery.calculated(text)
+    assert found is None if value is None else found == pytest.approx(value)
+
+
+def test_deep_outputs_give_a_row(spark):
+    deep = '@@COT_BEGIN@@ {"physical_law": ' + '{"a":' * 50_000 + "1" + "}" * 50_000 + "}"
+    assert recovery.repaired(deep).method == "unrecoverable"
+    assert codebleu.score("x = " + "+".join(["1"] * 3000), "x = 1")[0] is not None
+    assert runnability.syntax_error("(" * 5000 + ")" * 5000) and runnability.syntax_error("-" * 200_000 + "1")
 
 
 def test_recovery_keeps_valid_and_is_idempotent(spark):
