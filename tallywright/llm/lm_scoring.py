@@ -3,13 +3,18 @@
 Two byte-level 5-gram models share one vocabulary, the 256 bytes of UTF-8. The
 background model counts all documents, the target model those that labels call
 good. A document's score is the mean over its tokens of the target loss minus
-the background loss (Moore and Lewis 2010); low means close to the target. A
-5-gram is smoothed by its last two bytes, those by the last one.
+the background loss (Moore and Lewis 2010); low means close to the target. Both
+models are of one order and one smoothing: each n-gram is interpolated with the
+one that lacks its first byte, down to single bytes, so the chances of the 256
+bytes after any context sum to 1. The background is the whole corpus, no sample
+of it as large as the target: its counts are to cover all documents.
 
 Every 5-gram of every text is counted exactly, in a distributed table that has
-one row for each; counts of shorter contexts are sums of its rows. The table is
+one row for each; counts of shorter n-grams are sums of its rows. The table is
 looked up in parts of about 2**PART_BITS 5-grams, as many as it takes, so the
-model grows with the corpus and what is broadcast at a time does not.
+model grows with the corpus and what is broadcast at a time does not. A part
+has whole pairs of bytes before the last one; the largest is thus at least one
+pair's 5-grams.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ BACKOFF = 4.0
 CONTEXT = 4
 #: For each model: bytes with their 4 before, those 4 alone, bytes with the one before.
 KINDS = ("5-grams", "4-grams", "2-grams") * 2
-#: Contexts are dealt to parts by their remainder by this prime.
+#: Pairs of bytes before the last one are dealt to parts by their remainder by this prime.
 PRIME = 65521
 
 
@@ -48,12 +53,19 @@ def numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return eight & np.uint64(0xFFFFFFFFFF), rows
 
 
-def _context(five: np.ndarray) -> np.ndarray:
-    return five & np.uint64(0xFFFFFFFF)
+def _context(grams: np.ndarray, order: int = CONTEXT + 1) -> np.ndarray:
+    """n-grams of ``order`` bytes without their last byte."""
+    return grams & np.uint64((1 << 8 * (order - 1)) - 1)
 
 
-def _pair(five: np.ndarray) -> np.ndarray:
-    return (five >> np.uint64(24)).astype(np.int64)
+def _shorter(grams: np.ndarray) -> np.ndarray:
+    """n-grams without their first byte."""
+    return grams >> np.uint64(8)
+
+
+def _dealt(five: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 5-gram, by the two bytes before its last one."""
+    return (five >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(PRIME) % np.uint64(parts)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -94,7 +106,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 class Counts(Sequence):
     """The distributed table of 5-grams, cut into parts of about 2**bits rows
-    that keep the 5-grams of a context together, and the counts of 2-grams. As a
+    that keep the 5-grams of one ``_dealt`` pair together, and the counts of 2-grams. As a
     sequence it has the counts of each of KINDS, gathered on the driver."""
 
     def __init__(self, frame: DataFrame, bits: int):
@@ -106,7 +118,7 @@ class Counts(Sequence):
 
     def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(5-grams, their counts in all texts and in good ones) of one part."""
-        own = self.frame if self.parts == 1 else self.frame.where((F.col("five").bitwiseAND(0xFFFFFFFF) % PRIME) % self.parts == i)
+        own = self.frame if self.parts == 1 else self.frame.where((F.shiftright("five", 16).bitwiseAND(0xFFFF) % PRIME) % self.parts == i)
         found = own.select("five", "n", "good").toArrow()
         five, n, good = (found.column(c).to_numpy() for c in ("five", "n", "good"))
         return five.astype(np.uint64), np.stack((n, good))
@@ -153,30 +165,62 @@ class Names:
         return at, (self.mixed[at] == mixed) & (at < len(self.order))
 
 
+class Order:
+    """Chances of the n-grams of one order in a part, and how often each of
+    their contexts occurs, which is all that an n-gram not in it needs."""
+
+    def __init__(self, order: int, names: np.ndarray, n: np.ndarray, lower: np.ndarray):
+        contexts, inverse = np.unique(_context(names, order), return_inverse=True)
+        total = np.stack([np.bincount(inverse, x, minlength=len(contexts)) for x in n])
+        #: In the order of names, for the next order.
+        self.chance = (n + BACKOFF * lower) / (total[:, inverse] + BACKOFF)
+        self.names, self.contexts = Names(names), Names(contexts)
+        self.sorted, self.total = self.chance[:, self.names.order], total[:, self.contexts.order]
+
+    def slim(self) -> None:
+        """Leave out what only building needs."""
+        del self.chance
+        self.names.order, self.contexts.order = (np.empty(len(x.order), np.bool_) for x in (self.names, self.contexts))
+
+
 class Part:
-    """Losses of the 5-grams of one part, and its contexts for those not in it."""
+    """Chances of the 3-, 4- and 5-grams of one part, by the background model
+    and by the target model; those of 2-grams are ``short``."""
 
     def __init__(self, five: np.ndarray, n: np.ndarray, short: np.ndarray):
-        contexts, inverse = np.unique(_context(five), return_inverse=True)
-        four = np.stack([np.bincount(inverse, x, minlength=len(contexts)) for x in n])
-        loss = -np.log((n + BACKOFF * short[:, _pair(five)]) / (four[:, inverse] + BACKOFF))
-        self.short, self.fives, self.contexts = short, Names(five), Names(contexts)
-        self.loss, self.four = loss[:, self.fives.order], four[:, self.contexts.order]
-        self.fives.order, self.contexts.order = (np.empty(len(x.order), np.bool_) for x in (self.fives, self.contexts))
+        self.short, self.orders = short, {}
+        below, lower = None, None
+        for order in range(3, CONTEXT + 2):
+            names, inverse = np.unique(five >> np.uint64(8 * (CONTEXT + 1 - order)), return_inverse=True)
+            counts = np.stack([np.bincount(inverse, x, minlength=len(names)) for x in n])
+            shorter = _shorter(names)
+            chance = short[:, shorter.astype(np.int64)] if below is None else lower[:, np.searchsorted(below, shorter)]
+            self.orders[order] = Order(order, names, counts, chance)
+            below, lower = names, self.orders[order].chance
+        for own in self.orders.values():
+            own.slim()
+
+    def chances(self, grams: np.ndarray, order: int = CONTEXT + 1) -> np.ndarray:
+        """Probability of the last byte of each n-gram after those before it."""
+        if order == 2:
+            return self.short[:, grams.astype(np.int64)]
+        own = self.orders[order]
+        at, there = own.names.find(grams)
+        if there.all():
+            return own.sorted[:, at]
+        out = np.empty((2, len(grams)))
+        out[:, there] = own.sorted[:, at[there]]
+        new = grams[~there]
+        at, known = own.contexts.find(_context(new, order))
+        total = np.zeros((2, len(new)))
+        total[:, known] = own.total[:, at[known]]
+        out[:, ~there] = BACKOFF * self.chances(_shorter(new), order - 1) / (total + BACKOFF)
+        return out
 
     def losses(self, five: np.ndarray) -> np.ndarray:
         """Minus log-probability of each byte after those before it, by the
         background model and by the target model."""
-        at, there = self.fives.find(five)
-        out = np.empty((2, len(five)))
-        out[:, there] = self.loss[:, at[there]]
-        new = five[~there]
-        if len(new):
-            at, there_ = self.contexts.find(_context(new))
-            four = np.zeros((2, len(new)))
-            four[:, there_] = self.four[:, at[there_]]
-            out[:, ~there] = -np.log(BACKOFF * self.short[:, _pair(new)] / (four + BACKOFF))
-        return out
+        return -np.log(self.chances(five))
 
 
 @dataclass
@@ -223,7 +267,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
                 for lo, hi in tk.chunks(offsets):
                     five, rows = numbered(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     if parts > 1:
-                        own = _context(five) % np.uint64(PRIME) % np.uint64(parts) == i
+                        own = _dealt(five, parts) == i
                         five, rows = five[own], rows[own]
                     for of_model, loss in zip(total, part.losses(five), strict=True):
                         of_model[lo:hi] = np.bincount(rows, loss, minlength=hi - lo)

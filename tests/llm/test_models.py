@@ -171,25 +171,31 @@ def test_losses_equal_brute_force_over_many_ngrams(spark, bits):
     got = lm_scoring.score(df.unionByName(spark.createDataFrame(new, df.schema)), models).collect()
     assert len(got) == len(rows) and models.tables.frame.count() > 2 << 16 and (models.tables.parts > 1) == (bits == 15)
     for model in (0, 1):
-        counts = [Counter() for _ in range(6)]
+        counts = Counter()
         for i, t in enumerate(texts):
             raw = b"\0" * 4 + (t or "").encode()
             for j in range(4, len(raw)) if model == 0 or i in good else ():
-                for c, key in zip(counts, (raw[j - 4 : j + 1], raw[j - 4 : j], raw[j - 1 : j + 1], raw[j - 1 : j], raw[j : j + 1], b""), strict=True):
-                    c[key] += 1
-        five, four, two, before, one, every = counts
+                for order in range(1, 6):
+                    counts[raw[j - order + 1 : j + 1], "all"] += 1
+                    counts[raw[j - order + 1 : j], "before"] += 1
+
+        def chance(gram):
+            if len(gram) == 1:
+                return (counts[gram, "all"] + 1) / (counts[b"", "before"] + 256)
+            return (counts[gram, "all"] + 4 * chance(gram[1:])) / (counts[gram[:-1], "before"] + 4)
 
         def loss(t):
-            raw, out = b"\0" * 4 + t.encode(), 0.0
-            for j in range(4, len(raw)):
-                alone = (one[raw[j : j + 1]] + 1) / (every[b""] + 256)
-                short = (two[raw[j - 1 : j + 1]] + 4 * alone) / (before[raw[j - 1 : j]] + 4)
-                out -= np.log((five[raw[j - 4 : j + 1]] + 4 * short) / (four[raw[j - 4 : j]] + 4))
-            return out / (len(raw) - 4)
+            raw = b"\0" * 4 + t.encode()
+            return -sum(np.log(chance(raw[j - 4 : j + 1])) for j in range(4, len(raw))) / (len(raw) - 4)
 
         by = {(r.doc_id): r["loss_target" if model else "loss_background"] for r in got}
         for i, t in rows[::10] + rows[-5:]:
             assert by[i] == (pytest.approx(loss(t), rel=1e-9) if t else None)
+        parts = [models.part(i) for i in range(models.tables.parts)]
+        for before in (b"the ", b"abcd", b"\0\0\0\0", b"\xff\xfe\xfd\xfc"):
+            every = np.array([int.from_bytes(before + bytes([x]), "little") for x in range(256)], dtype=np.uint64)
+            own = parts[int(lm_scoring._dealt(every[:1], len(parts))[0])]
+            assert np.exp(-own.losses(every)[model]).sum() == pytest.approx(1, rel=1e-9)
 
 
 def test_signs_beyond_the_basic_plane_are_no_letters(spark):
