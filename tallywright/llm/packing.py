@@ -5,7 +5,7 @@ tokens, so memory is too). Of a window's segments the longest come first; each
 goes to the open row with the least room that still holds it, found in a
 segment tree over room sizes. Documents longer than a row are split into full
 rows and a rest, without loss. A row holds its ids, cumulative segment lengths,
-the places where positions restart, and which part of which document it has.
+the places where positions restart, and which part of which document it has (``row`` numbers the documents by task).
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from .runtime import table
 from .wordpieces import END_OF_TEXT, byte_encoder
 
 CAPACITY, WINDOW_TOKENS = 2048, 2_000_000
-SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, resets array<int>, segments array<struct<doc_id:long,part:int,offset:long,length:int>>"
+SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, resets array<int>, segments array<struct<doc_id:long,row:long,part:int,offset:long,length:int>>"
 ARROW = pa.schema([
     ("pack_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32())),
-    ("segments", pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.int32()), ("offset", pa.int64()), ("length", pa.int32())]))),
+    ("segments", pa.list_(pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("offset", pa.int64()), ("length", pa.int32())]))),
 ])
 
 
@@ -82,15 +82,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack_window(docs: list[tuple], capacity: int, pad: int, dtype: str):
-    """Packed rows (without pack_id) of (doc_id, ids) pairs."""
-    parts = [(own, part, at, ids[at : at + capacity]) for own, ids in docs for part, at in enumerate(range(0, len(ids), capacity))]
+    """Packed rows (without pack_id) of (doc_id, row, ids) triples."""
+    parts = [((own, row), part, at, ids[at : at + capacity]) for own, row, ids in docs for part, at in enumerate(range(0, len(ids), capacity))]
     for row in best_fit([len(p[3]) for p in parts], capacity):
         own = [parts[i] for i in row]
         ends = np.cumsum([len(p[3]) for p in own])
         line = np.full(capacity, pad, dtype=dtype)
         line[: ends[-1]] = np.concatenate([p[3] for p in own])
         cumulative = [0, *ends.tolist()]
-        yield line.tobytes(), int(ends[-1]), cumulative, cumulative[:-1], [{"doc_id": p[0], "part": p[1], "offset": p[2], "length": len(p[3])} for p in own]
+        yield line.tobytes(), int(ends[-1]), cumulative, cumulative[:-1], [{"doc_id": p[0][0], "row": p[0][1], "part": p[1], "offset": p[2], "length": len(p[3])} for p in own]
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, window_tokens: int = WINDOW_TOKENS, tokenizer: str | None = None, end: int = END_OF_TEXT) -> DataFrame:
@@ -106,7 +106,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, window_tokens: int = WINDO
     def run(batches):
         encoder = byte_encoder(tokenizer)
         dtype = "<u2" if max(encoder.size, end + 1) <= 1 << 16 else "<i4"
-        number = TaskContext.get().partitionId() << 32
+        number = number_of_row = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []
         size = 0
 
@@ -126,7 +126,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, window_tokens: int = WINDO
         for batch in batches:
             for own, text in zip(batch.column("doc_id"), batch.column("_text"), strict=True):
                 ids = np.append(encoder.encode(text.as_py() or ""), end).astype(dtype)
-                waiting.append((own.as_py(), ids))
+                waiting.append((own.as_py(), number_of_row, ids))
+                number_of_row += 1
                 size += len(ids)
                 if size >= window_tokens:
                     yield from flush()
@@ -150,11 +151,12 @@ def positions(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def unpacked(rows: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, ids) again, the parts of a document put together. ``width`` is
-    the size of an id in bytes."""
+    """(doc_id, ids) again, one row for each that was packed: the parts of a
+    document are put together by its row, so repeated and null ids stay apart.
+    ``width`` is the size of an id in bytes."""
     part = rows.select("ids", F.posexplode("segments").alias("i", "s"), "cu_seqlens")
-    cut = part.select("s.doc_id", "s.part", F.substring("ids", F.element_at("cu_seqlens", F.col("i") + 1) * width + 1, F.col("s.length") * width).alias("piece"))
-    joined = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p"))
+    cut = part.select("s.doc_id", "s.row", "s.part", F.substring("ids", F.element_at("cu_seqlens", F.col("i") + 1) * width + 1, F.col("s.length") * width).alias("piece"))
+    joined = cut.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("p"))
     return joined.select("doc_id", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), "")).alias("ids"))
 
 

@@ -19,11 +19,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``.
-    Only where that is unset (local tests) a folder of this machine is used.
+    Only where that is unset and Spark runs in one process (local tests) a
+    folder of this machine is used; on a cluster an unset name is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tallywright-checkpoints"))
     return df.checkpoint(eager=True)
 

@@ -124,6 +124,15 @@ def test_packing_round_trip(spark):
     assert packing.packed(docs(spark, []).limit(0)).count() == 0
 
 
+def test_unpacking_keeps_repeated_rows_and_null_ids_apart(spark):
+    rows = [(7, "first"), (7, "second " * 300), (7, "first"), (None, "no id " * 200), (None, "no id either"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    back = packing.unpacked(packing.packed(df, capacity=64, window_tokens=500)).collect()
+    encoder = wordpieces.byte_encoder()
+    got = [(r.doc_id, encoder.decode(np.frombuffer(bytes(r.ids), "<u2")[:-1]).decode()) for r in back]
+    assert sorted(got, key=str) == sorted([(i, t or "") for i, t in rows], key=str)
+
+
 # Chat
 
 
