@@ -34,7 +34,7 @@ from . import textkernel as tk
 from .runtime import table
 
 DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, CHUNK_BYTES = 2, 1 << 20
+SAMPLES, CHUNK_BYTES = 2, 1 << 19
 #: Siblings whose log-probability is below this can't be reached: a Gumbel of such height has a chance of about e**-40.
 DEEPEST = -40.0
 SPACE = "▁"
