@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -238,3 +239,12 @@ def test_bytes_stand_for_bare_characters():
     model = sentencepieces.piece_model()
     chars = np.array([0x61, 0x1F600, 0xE9], np.uint32)
     assert model.with_bytes(np.array([7, -1, -1], np.int32), chars).tolist() == [7, *model.byte[list("\U0001F600\u00e9".encode())].tolist()]
+
+
+def test_each_license_is_told_from_its_kin_however_wrapped(spark):
+    """Versions and variants that differ by a word or two, and one that holds another."""
+    wide = [(name, textwrap.fill(text, width, break_on_hyphens=False, break_long_words=False)) for name, text in licenses.TEMPLATES.items() for width in (40, 60, 100)]
+    found: dict = {}
+    for r in licenses.scan(docs(spark, [f"intro\n\n{text}\n\nmore prose" for _, text in wide])).collect():
+        found.setdefault(r.doc_id, []).append((r.license, r.confirmed, r.same))
+    assert [found.get(i) for i in range(len(wide))] == [[(name, True, 1.0)] for name, _ in wide]
