@@ -19,8 +19,15 @@ def nest_models(evaluated: DataFrame, key: list[str], model: str = "model", valu
     return evaluated.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(model, value))).alias("models"))
 
 
-def _cells(df: DataFrame, most: int) -> list[list[str]]:
-    rows = df.limit(most).collect()
+def _rows(df: DataFrame, most: int) -> list:
+    """All rows of a report; more than ``most`` are an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table for people takes at most {most} rows; write a file instead, or raise the bound")
+    return rows
+
+
+def _cells(rows: list) -> list[list[str]]:
     return [[("-" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)) for v in r] for r in rows]
 
 
@@ -29,19 +36,19 @@ def markdown(df: DataFrame, align: dict[str, str] | None = None, most: int = 100
     marks = {"l": ":--", "r": "--:", "c": ":-:"}
     head = "| " + " | ".join(df.columns) + " |"
     rule = "| " + " | ".join(marks[(align or {}).get(c, "l")] for c in df.columns) + " |"
-    return "\n".join([head, rule, *("| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in _cells(df, most))])
+    return "\n".join([head, rule, *("| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in _cells(_rows(df, most)))])
 
 
 def fixed_width(df: DataFrame, most: int = 1000) -> str:
-    rows = [df.columns, *_cells(df, most)]
+    rows = [df.columns, *_cells(_rows(df, most))]
     widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)
 
 
 def latex(df: DataFrame, best: dict[str, set] | None = None, label: str = "model", most: int = 1000) -> str:
     """Rows of a LaTeX table; cells of ``best[column]`` (labels) are bold."""
-    out = []
-    for row, cells in zip(df.limit(most).collect(), _cells(df, most), strict=True):
+    rows, out = _rows(df, most), []
+    for row, cells in zip(rows, _cells(rows), strict=True):
         shown = [f"\\textbf{{{c}}}" if row[label] in (best or {}).get(name, ()) else c.replace("_", "\\_") for name, c in zip(df.columns, cells, strict=True)]
         out.append(" & ".join(shown) + r" \\")
     return "\n".join(out)

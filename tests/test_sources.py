@@ -70,6 +70,10 @@ def test_writers(spark, folder):
     assert sinks.markdown(df, {"v": "r"}).splitlines()[1] == "| :-- | --: |"
     assert "\\textbf{c}" in sinks.latex(df, {"model": {"c"}}) and "a\\_b" in sinks.latex(df)
     assert sinks.fixed_width(df).splitlines()[0].split() == ["model", "v"]
+    for table in (sinks.markdown, sinks.fixed_width, sinks.latex):
+        assert table(df, most=df.count())
+        with pytest.raises(ValueError, match="at most 1 rows"):
+            table(df, most=1)
     nested = sinks.nest_models(spark.createDataFrame([("s", "m", 1), ("s", "n", 2)], "sample string, model string, evaluation int"), ["sample"])
     assert nested.first().models == {"m": 1, "n": 2}
 
