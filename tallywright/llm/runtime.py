@@ -21,6 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that the session names in ``spark.checkpoint.dir``.
     Only where that is unset and Spark runs in one process (local tests) a
     folder of this machine is used; on a cluster an unset name is an error.
+
+    Afterwards the driver collects garbage, so that Spark's cleaner removes the
+    shuffle files and checkpoints of earlier steps that nothing refers to now.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -28,7 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and sc.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tallywright-checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
