@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, licenses, lm_scoring, packing, sentencepieces, toxicity
+from . import chat_format, collocations, decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, licenses, lm_scoring, packing, sentencepieces, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_chat_format": chat_format.query,
         "op10_toxicity": toxicity.query,
         "op11_filter_audit": filter_audit.query,
+        "op12_collocations": collocations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL, "op12_collocations": collocations.SQL}
