@@ -44,7 +44,9 @@ BLOCK = 1 << 18
 CHUNK_BYTES = 4 << 20
 #: Most words and languages that a task remembers; then it begins anew.
 VOCABULARY = 1 << 20
-SALTS = 16
+#: Over how many lanes a part of one, two or three words is dealt: many phrases begin or end with one frequent word.
+LANES = (16, 4, 1)
+LOTS = 128
 
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: A byte that no UTF-8 text holds stands between pieces.
@@ -265,7 +267,7 @@ def merged(parts: DataFrame, least: int, tasks: int) -> DataFrame:
 
 
 def survivors(docs: DataFrame, text_col: str, lang_col: str, reached, cells: int) -> DataFrame:
-    """(lang, phrase, size, count) of the n-grams of each chunk whose cells all
+    """(lang, phrase, f) of the n-grams of each chunk whose cells all
     reach the threshold. ``reached`` is a broadcast of the merged bits."""
 
     def run(batches):
@@ -285,10 +287,10 @@ def survivors(docs: DataFrame, text_col: str, lang_col: str, reached, cells: int
                 names = words.names
                 text = [b" ".join([names[i] for i in row]) for row in chunk.ids[places[:, None] + np.arange(n)].tolist()]
                 lang = pa.DictionaryArray.from_arrays(pa.array(chunk.langs[places]), pa.array(languages.names, pa.binary())).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([lang, pa.array(text, pa.binary()), pa.array(np.full(len(text), n, np.int32)), pa.array(counts)], names=["lang", "phrase", "size", "f"])
+                yield pa.RecordBatch.from_arrays([lang, pa.array(text, pa.binary()), pa.array(counts)], names=["lang", "phrase", "f"])
 
-    found = _texts(docs, text_col, lang_col).mapInArrow(tk.tidy(run), "lang binary, phrase binary, size int, f long")
-    return found.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "size", "f")
+    found = _texts(docs, text_col, lang_col).mapInArrow(tk.tidy(run), "lang binary, phrase binary, f long")
+    return found.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
@@ -305,8 +307,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = parts.where("block < 0").groupBy(F.col("cells").cast("string").alias("lang")).agg(F.sum("words").alias("n"))
     tasks = max(1, min(partitions(spark), ROWS * cells // BLOCK))
     reached = spark.sparkContext.broadcast([(r.block, bytes(r.reached)) for r in merged(parts, least, tasks).collect()])
-    exact = survivors(docs, text_col, lang_col, reached, cells).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return cut(exact.where(F.col("f") >= least)), words
+    exact = survivors(docs, text_col, lang_col, reached, cells).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return cut(exact.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f")), words
 
 
 def wide(count: Column) -> Column:
@@ -323,25 +325,30 @@ def _words(phrase: str, first: Column, count: Column) -> Column:
 
 
 def scored(counts: DataFrame) -> DataFrame:
-    """(lang, phrase, size, a, l, r, score, k): each phrase of two words or more by
+    """(lang, phrase, a, l, r, score, k): each phrase of two words or more by
     its lowest-scoring cut, of equal scores the first. Parts meet their counts
     dealt over salts, as many phrases begin or end with one frequent word."""
+    lanes = lambda size: F.element_at(F.array(*map(F.lit, LANES)), size)
     long = counts.where("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"))
     cuts = long.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     parts = cuts.select(
         "lang", "phrase", "size", "a", "k",
         F.inline(F.array(
-            F.struct(F.lit("l").alias("side"), _words("phrase", F.lit(1), F.col("k")).alias("part")),
-            F.struct(F.lit("r").alias("side"), _words("phrase", F.col("k") + 1, F.col("size") - F.col("k")).alias("part")),
+            F.struct(F.lit("l").alias("side"), _words("phrase", F.lit(1), F.col("k")).alias("part"), F.col("k").alias("words")),
+            F.struct(F.lit("r").alias("side"), _words("phrase", F.col("k") + 1, F.col("size") - F.col("k")).alias("part"), (F.col("size") - F.col("k")).alias("words")),
         )),
-        F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    known = counts.select("lang", F.col("phrase").alias("part"), "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("phrase"), lanes(F.col("words"))).cast("int")).drop("words")
+    known = counts.where(F.col("size") < LONGEST).select("lang", F.col("phrase").alias("part"), "f", F.explode(F.sequence(F.lit(0), lanes(F.col("size")) - 1)).alias("salt"))
     met = parts.join(known, ["lang", "part", "salt"])
-    sides = met.groupBy("lang", "phrase", "size", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
-    by_cut = sides.withColumn("score", score_of(F.col("a"), F.col("l"), F.col("r")))
-    least = by_cut.groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
-    return least.select("lang", "phrase", "size", "a", "m.l", "m.r", "m.score", "m.k")
+    side = lambda name, k: F.max(F.when((F.col("side") == name) & (F.col("k") == k), F.col("f")))
+    sides = met.groupBy("lang", "phrase", "a").agg(*(side(name, k).alias(f"{name}{k}") for k in range(1, LONGEST) for name in ("l", "r")))
+    cut_at = lambda k: F.when(
+        F.col(f"l{k}").isNotNull(),
+        F.struct(score_of(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")),
+    )
+    least = sides.select("lang", "phrase", "a", F.least(*(cut_at(k) for k in range(1, LONGEST))).alias("m"))
+    return least.select("lang", "phrase", "a", "m.l", "m.r", "m.score", "m.k")
 
 
 def subsumed(counts: DataFrame, percent: int = 80) -> DataFrame:
@@ -358,7 +365,7 @@ def ranked(phrases: DataFrame, words: DataFrame, top: int = TOP) -> DataFrame:
     """The first ``top`` phrases of each language: first of each of many lots of a
     language, then of what those leave."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    lots = phrases.withColumn("lot", F.pmod(F.xxhash64("phrase", "a"), F.lit(8 * SALTS)).cast("int"))
+    lots = phrases.withColumn("lot", F.pmod(F.xxhash64("phrase", "a"), F.lit(LOTS)).cast("int"))
     first = lots.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lot").orderBy(*order))).where(F.col("rank") <= top)
     final = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return final.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
