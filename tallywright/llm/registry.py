@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, collocations, decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, licenses, lm_scoring, packing, sentencepieces, toxicity
+from . import chat_format, collocations, decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, licenses, lm_scoring, packing, prefix_bpe, sentencepieces, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.query,
         "op11_filter_audit": filter_audit.query,
         "op12_collocations": collocations.query,
+        "op13_prefix_bpe": prefix_bpe.query,
     }
 
 
