@@ -19,10 +19,11 @@ from __future__ import annotations
 import base64
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -45,37 +46,73 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.longest, self.stride = max(map(len, ranks)), max(ranks.values()) + 1
         self.endings = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
         self.endings.make_automaton()
-        self._fits: dict[tuple[int, ...], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, ...]] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
 
-    def merged(self, text: bytes) -> list[int]:
-        """Encoding of a short text by its definition: merge the leftmost pair of
-        lowest rank until there is none."""
+    def merged(self, text: bytes, least: int = 1) -> list[bytes]:
+        """Parts of a short text by the definition of its encoding: merge the leftmost
+        pair of lowest rank until there is none, or ``least`` parts are left."""
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
+        while len(parts) > least:
             ranked = [(self.ranks[pair], i) for i in range(len(parts) - 1) if (pair := parts[i] + parts[i + 1]) in self.ranks]
             if not ranked:
                 break
             _, i = min(ranked)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def fits(self, *tokens: int) -> bool:
-        """Whether one or two tokens in a row are the encoding of their bytes."""
-        known = self._fits.get(tokens)
+        return parts
+
+    def halves(self, token: int) -> tuple[int, ...]:
+        """The two tokens that merge into ``token`` last; none for a single byte or
+        where that isn't one merge of two tokens of lower rank."""
+        found = self._halves.get(token)
+        if found is None:
+            parts = [self.ranks[p] for p in self.merged(self.tokens[token], 2)]
+            found = self._halves[token] = tuple(parts) if len(parts) == 2 and max(parts) < token else ()
+        return found
+
+    def _judged(self, before: int, token: int) -> bool:
+        """Whether the pair encodes to itself: go back over the merges that made it,
+        the latest first, and see whether one across its boundary came before. As
+        long as parts have lower ranks than wholes, merges happen in order of rank;
+        else the definition decides."""
+        left, right, bound = before, token, self.stride
+        while True:
+            across = self.ranks.get(self.tokens[left] + self.tokens[right])
+            if across is not None and across < bound:
+                return False
+            later_left = left > right
+            if self.lengths[left if later_left else right] == 1:
+                later_left = not later_left
+            if self.lengths[left if later_left else right] == 1:
+                return True
+            halves = self.halves(left if later_left else right)
+            if not halves:
+                return self.merged(self.tokens[before] + self.tokens[token]) == [self.tokens[before], self.tokens[token]]
+            if later_left:
+                left, bound = halves[1], left
+            else:  # of equal ranks the left one merges first
+                right, bound = halves[0], right + 1
+
+    def fits(self, token: int, before: int = -1) -> bool:
+        """Whether ``token``, alone or after the token ``before``, is the encoding of
+        its bytes."""
+        key = (before + 1) * self.stride + token
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            known = self._fits[tokens] = self.merged(b"".join(self.tokens[t] for t in tokens)) == list(tokens)
+            known = self._fits[key] = self._judged(before, token) if before >= 0 else self.merged(self.tokens[token]) == [self.tokens[token]]
         return known
 
     def extend(self, last: array, piece: bytes, old: array | None = None, shift: int = 0, since: int = 0) -> int:
@@ -84,31 +121,31 @@ class Vocabulary:
         place ``since`` on at places less by ``shift``: from where as many of these
         places agree as the longest token has bytes, the rest is taken from it.
         Returns how many places were computed."""
-        begin = len(last)
-        window = max(0, begin - self.longest)
-        agree = 0
-        for end, (token, length) in self.endings.iter(piece[window:].decode("latin-1")):
-            at = window + end  # place of the prefix that ends with this byte
-            if at != len(last):  # known, or found by a longer token
+        begin = place = len(last)
+        window, agree = max(0, begin - self.longest), 0
+        known, stride, append = self._fits.get, self.stride, last.append
+        for end, (token, length) in self.endings.iter((piece[window:] if window else piece).decode("latin-1")):
+            if end + window != place:  # known, or found by a longer token
                 continue
-            before = at + 1 - length
-            if not (self.fits(last[before - 1], token) if before else self.fits(token)):
+            before = last[place - length] if length <= place else -1
+            fits = known((before + 1) * stride + token)
+            if not (self.fits(token, before) if fits is None else fits):
                 continue
-            last.append(token)
-            if old is not None and at >= since:
-                agree = agree + 1 if old[at - shift] == token else 0
+            append(token)
+            if old is not None and place >= since:
+                agree = agree + 1 if old[place - shift] == token else 0
                 if agree >= self.longest:
-                    done = len(last) - begin
-                    last.extend(old[at + 1 - shift : len(piece) - shift])
-                    return done
-        return len(last) - begin
+                    last.extend(old[place + 1 - shift : len(piece) - shift])
+                    return place + 1 - begin
+            place += 1
+        return place - begin
 
     def read_out(self, last: array) -> list[int]:
         """The tokens of the whole piece, from the last one back."""
         ids, at = [], len(last)
         while at:
             ids.append(last[at - 1])
-            at -= len(self.tokens[last[at - 1]])
+            at -= self.lengths[ids[-1]]
         return ids[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -210,14 +247,32 @@ class Pieces(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
-        ids = self.vocabulary.encode_piece(raw)
+        ids = tuple(self.vocabulary.encode_piece(raw))
         if len(raw) <= PIECE_BYTES:
             self[piece] = ids
         return ids
 
 
+    def learn(self, pieces: Iterator[str]) -> None:
+        """Encode the short ones of ``pieces`` that aren't known, in order, so that
+        each goes on from the prefix that it shares with the one before."""
+        last, before = array("i"), b""
+        for piece in sorted(set(pieces).difference(self)):
+            raw = piece.encode()
+            if len(raw) > PIECE_BYTES:
+                continue
+            rank = self.vocabulary.ranks.get(raw)
+            if rank is not None:
+                self[piece] = (rank,)
+                continue
+            shared = next((i for i, (a, b) in enumerate(zip(before, raw, strict=False)) if a != b), min(len(before), len(raw)))
+            del last[shared:]
+            self.vocabulary.extend(last, raw)
+            self[piece], before = tuple(self.vocabulary.read_out(last)), raw
+
+
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -228,12 +283,13 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return _loaded[path]
 
 
-def _lists(rows: Iterator[array]) -> pa.Array:
+def _lists(rows: Iterator[Iterable[int]]) -> pa.Array:
     flat, bounds = array("i"), array("i", [0])
     for row in rows:
         flat.extend(row)
         bounds.append(len(flat))
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+    whole = lambda numbers: pa.array(np.frombuffer(numbers, dtype=np.int32) if numbers else np.empty(0, np.int32))
+    return pa.ListArray.from_arrays(whole(bounds), whole(flat))
 
 
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
@@ -251,7 +307,9 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             texts = pc.fill_null(batch.column(1), "")
             _, offsets = tk.buffers(texts)
             for lo, hi in tk.chunks(offsets, CHUNK_BYTES):
-                ids = _lists(array("i", chain.from_iterable(map(words.__getitem__, find(t.as_py())))) for t in texts.slice(lo, hi - lo))
+                found = [find(t.as_py()) for t in texts.slice(lo, hi - lo)]
+                words.learn(chain.from_iterable(found))
+                ids = _lists(chain.from_iterable(map(words.__getitem__, pieces)) for pieces in found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
                 if len(words) > PIECES:
                     words.clear()
@@ -269,7 +327,9 @@ def decoded(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> D
     def run(batches):
         decode = vocabulary(path).decode
         for batch in batches:
-            out = pa.array([decode(ids.as_py() or ()) for ids in batch.column(at)], pa.binary())
+            ids = batch.column(at)
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            out = pa.array([decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*kept, "decoded"])
 
     return rows.select(*kept).mapInArrow(run, schema)
@@ -282,7 +342,7 @@ def _table_batch(names: list, documents: list[Document]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(names, pa.int64()), pa.array([d.text for d in documents], pa.string()),
-            _lists(array("i", d.starts) for d in documents), _lists(array("i", chain.from_iterable(d.tables)) for d in documents), _lists(array("i", d.ids()) for d in documents),
+            _lists(d.starts for d in documents), _lists(chain.from_iterable(d.tables) for d in documents), _lists(d.ids() for d in documents),
         ], names=["doc_id", "text", "starts", "last", "ids"],
     )
 

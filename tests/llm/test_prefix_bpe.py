@@ -54,12 +54,21 @@ def test_each_prefix_has_one_last_token(vocabulary):
         last = prefix_bpe.array("i")
         vocabulary.extend(last, raw)
         for i in range(1, len(raw) + 1):
-            want = vocabulary.merged(raw[:i])
+            want = [vocabulary.ranks[p] for p in vocabulary.merged(raw[:i])]
             assert vocabulary.read_out(last[:i]) == want
-            valid = [t for t in {vocabulary.ranks[raw[j:i]] for j in range(i) if raw[j:i] in vocabulary.ranks} if (b := i - len(vocabulary.tokens[t])) == 0 and vocabulary.fits(t) or b and vocabulary.fits(last[b - 1], t)]
+            valid = [t for t in {vocabulary.ranks[raw[j:i]] for j in range(i) if raw[j:i] in vocabulary.ranks} if (b := i - len(vocabulary.tokens[t])) == 0 and vocabulary.fits(t) or b and vocabulary.fits(t, last[b - 1])]
             assert valid == [want[-1]]
 
 
+def test_pairs_by_their_merges_as_by_definition(vocabulary):
+    draw = random.Random(12)
+    common = list(vocabulary.tokens)[:900]
+    for ids in (common, list(vocabulary.tokens), [t for t in vocabulary.tokens if set(vocabulary.tokens[t]) <= set(b" -=a")]):
+        for _ in range(6000):
+            a, b = draw.choice(ids), draw.choice(ids)
+            assert vocabulary._judged(a, b) == (vocabulary.merged(vocabulary.tokens[a] + vocabulary.tokens[b]) == [vocabulary.tokens[a], vocabulary.tokens[b]])
+
+
 def test_tokens_that_merging_does_not_reach():
     """Here `abc` is a token but merging gives a, bc: alone it is itself, inside a piece it can't be used."""
     ranks = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"abc": 258, b"ab": 257}
