@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,21 @@ def done_keys(evaluated: DataFrame, key: list[str], rule: Column | None) -> Data
     return rows.select(*key, "scorer", "judge_model").distinct()
 
 
-def gate(attempts: DataFrame, ok: str, reason: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to score, skip rows with a reason)."""
+def gate(attempts: DataFrame, ok: str, reason: str, judges: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to score, skip rows with a reason, one for each judge)."""
     good = F.coalesce(F.col(ok), F.lit(False))
-    return attempts.where(good), attempts.where(~good).withColumns({"skipped": F.lit(True), "skip_reason": F.lit(reason)})
+    skipped = {"judge_model": F.explode(F.array(*map(F.lit, judges))), "skipped": F.lit(True), "skip_reason": F.lit(reason)}
+    return attempts.where(good), attempts.where(~good).withColumns(skipped)
+
+
+def flag_gate(flag: str) -> Column:
+    """Reason ``flag=False`` where the flag isn't true, else null."""
+    return F.when(~F.coalesce(F.col(flag), F.lit(False)), f"{flag}=False")
 
 
 def code_gate(code: str = "parsed_code", ok: str = "parse_ok_code") -> Column:
     """Why code isn't scored, else null."""
-    blank = F.trim(F.coalesce(F.col(code), F.lit(""))) == ""
+    blank = ~F.coalesce(F.col(code), F.lit("")).rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")
     return F.when(~F.coalesce(F.col(ok), F.lit(False)), "parse_ok_code=False").when(blank, "empty_parsed_code")
 
 
@@ -79,9 +87,8 @@ def law(document: Column) -> Column:
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:
-    """A prompt from a template with {names}; empty values read (empty)."""
-    out = F.lit(template)
-    for name, value in values.items():
-        shown = F.when(F.coalesce(value, F.lit("")) == "", "(empty)").otherwise(value)
-        out = F.replace(out, F.lit("{" + name + "}"), shown)
-    return out
+    """A prompt from a template with {names}; empty values read (empty). What a value
+    holds is never taken for a name."""
+    pieces = re.split("({(?:" + "|".join(map(re.escape, values)) + ")})", template)
+    shown = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "(empty)").otherwise(c)
+    return F.concat(*(shown(values[p[1:-1]]) if i % 2 else F.lit(p) for i, p in enumerate(pieces)))

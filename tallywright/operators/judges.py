@@ -6,11 +6,14 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
-from typing import Protocol
-
-import pandas as pd
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
+from typing import Protocol, TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ RETRY_WORDS = (
     "overloaded", "service unavailable", "503", "502", "504", "timeout", "timed out", "temporar", "connection", "apiconnection",
 )
 LEVELS = 5
+T = TypeVar("T")
 
 
 @dataclass
@@ -30,7 +34,6 @@ class Answer:
     tokens_in: int = 0
     tokens_out: int = 0
     error: str | None = None
-    extra: dict = field(default_factory=dict)
 
 
 class Judge(Protocol):
@@ -87,24 +90,69 @@ class Replay:
             return Answer(raw_text=raw, error=f"JSONDecodeError: {e}")
 
 
-SCORERS: dict[str, str] = {"law_equivalence": "gt and candidate", "law_validity": "candidate", "codebleu": "code", "runnability": "code"}
+def ask(judge: Judge, system: str, user: str, schema: dict) -> Answer:
+    """One answer; an error that retries don't mend is an answer too."""
+    try:
+        return with_retries(lambda: judge.call(system, user, schema))
+    except Exception as e:
+        return Answer(error=f"{type(e).__name__}: {e}")
 
 
-def judged(prompts: DataFrame, keys: list[str], judges: list[Judge], system: str, schema: dict | None = None, user: str = "prompt") -> DataFrame:
-    """One row per prompt and judge, in the judges' order."""
-    schema = schema or likert_schema()
-    out_schema = ", ".join(f"{k} {t}" for k, t in prompts.select(*keys).dtypes) + ", judge_model string, scores string, raw_response string, latency_s double, tokens_in long, tokens_out long, judge_error string"
+def fan_out(calls: Iterable[Callable[[], T]], concurrency: int) -> Iterator[T]:
+    """Results of ``calls`` in their order. At most ``concurrency`` run at a time, and
+    as many more are taken from ``calls`` ahead of the result that is due, so a
+    slow call neither stops the others at once nor lets results pile up. What a
+    call raises is raised in its turn."""
+    waiting: deque[Future] = deque()
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        try:
+            for call in calls:
+                waiting.append(pool.submit(call))
+                if len(waiting) >= 2 * concurrency:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for left in waiting:
+                left.cancel()
+
+
+ANSWERED = "scores string, raw_response string, latency_s double, tokens_in long, tokens_out long, judge_error string"
+
+
+def _answer_columns(answers: list[Answer]) -> list[pa.Array]:
+    return [
+        pa.array([json.dumps(a.parsed) if a.parsed else None for a in answers], pa.string()), pa.array([a.raw_text for a in answers], pa.string()), pa.array([a.latency_s for a in answers], pa.float64()),
+        pa.array([a.tokens_in for a in answers], pa.int64()), pa.array([a.tokens_out for a in answers], pa.int64()), pa.array([a.error for a in answers], pa.string()),
+    ]
+
+
+def answered(work: DataFrame, judges: list[Judge], schema: dict | None = None, concurrency: int = 8, system: str = "system", user: str = "user", judge: str = "judge_model") -> DataFrame:
+    """``work`` (a row per call: which judge, system and user prompt) with the answers'
+    columns, in the rows' order. A row with a null user prompt isn't asked: its
+    columns are null. ``concurrency`` calls run at a time in each Spark task, over
+    rows and judges alike, so several judges of an attempt are asked together."""
+    schema, by_name = schema or likert_schema(), {j.name: j for j in judges}
+    kept = [c for c in work.columns if c not in (system, user)]
+    types = dict(work.dtypes)
+    nothing = Answer(None, None, None, None, None, None)
+
+    def call(row: dict) -> Answer:
+        if row[user] is None:
+            return nothing
+        chosen = by_name.get(row[judge])
+        return Answer(error=f"no judge {row[judge]}") if chosen is None else ask(chosen, row[system], row[user], schema)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                for judge in judges:
-                    try:
-                        a = with_retries(lambda judge=judge, row=row: judge.call(system, row[user], schema))
-                    except Exception as e:
-                        a = Answer(error=f"{type(e).__name__}: {e}")
-                    rows.append({k: row[k] for k in keys} | {"judge_model": judge.name, "scores": json.dumps(a.parsed) if a.parsed else None, "raw_response": a.raw_text, "latency_s": a.latency_s, "tokens_in": a.tokens_in, "tokens_out": a.tokens_out, "judge_error": a.error})
-            yield pd.DataFrame(rows)
-
-    return prompts.select(*keys, user).mapInPandas(run, out_schema)
+            asked = batch.select([system, user, judge]).to_pylist()
+            answers = list(fan_out((partial(call, row) for row in asked), concurrency))
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *_answer_columns(answers)], names=[*kept, *(c.split()[0] for c in ANSWERED.split(", "))])
+
+    return work.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", " + ANSWERED)
+
+
+def judged(prompts: DataFrame, keys: list[str], judges: list[Judge], system: str, schema: dict | None = None, user: str = "prompt", concurrency: int = 8) -> DataFrame:
+    """One row per prompt and judge, in the judges' order."""
+    named = F.explode(F.array(*(F.lit(j.name) for j in judges))).alias("judge_model")
+    return answered(prompts.select(*keys, F.lit(system).alias("system"), F.col(user).alias("user"), named), judges, schema, concurrency)

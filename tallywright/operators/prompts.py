@@ -19,4 +19,4 @@ def parse_prompt(text: str) -> tuple[str, str]:
 
 
 def load_prompt(spark: SparkSession, path: str) -> tuple[str, str]:
-    return parse_prompt(spark.read.option("wholetext", True).text(path).first()[0])
+    return parse_prompt(spark.read.text(path, wholetext=True).first()[0])

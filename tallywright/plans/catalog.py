@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ORACLES, REGISTRY, documents, judgments, runs  # noqa: F401  (registers)
+from . import ORACLES, REGISTRY, dispatch, documents, judgments, runs  # noqa: F401  (registers)
 
 
 def queries() -> dict:

@@ -96,8 +96,7 @@ def top_error_messages(spark, d):
 
 @register("judge_gate", f"""WITH {ATTEMPT} SELECT sample, j.judge AS judge_model, 'parse_ok_cot=False' AS skip_reason FROM attempt, (VALUES ('j0'), ('j1')) j(judge) WHERE NOT parse_ok""")
 def judge_gate(spark, d):
-    skipped = inc.gate(attempt(spark, d), "parse_ok", "parse_ok_cot=False")[1]
-    return skipped.select("sample", F.explode(F.array(F.lit("j0"), F.lit("j1"))).alias("judge_model"), "skip_reason")
+    return inc.gate(attempt(spark, d), "parse_ok", "parse_ok_cot=False", ["j0", "j1"])[1].select("sample", "judge_model", "skip_reason")
 
 
 @register("code_gate", f"WITH {ATTEMPT} SELECT sample, CASE WHEN NOT code_ok THEN 'parse_ok_code=False' WHEN experiment = '5-LOW' THEN 'empty_parsed_code' END AS reason FROM attempt")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,12 @@ def build_session(app: str = "tallywright", master: str | None = None, **conf: s
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+    Only local sessions may leave that unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{(named or tempfile.gettempdir()).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -83,9 +83,9 @@ def sample_keys(spark: SparkSession, path: str) -> DataFrame:
 
 def ground_truth(spark: SparkSession, root: str, name: str = "cot.json") -> DataFrame:
     """Key and whole text of ``root/engine/experiment/sample_id/name``."""
-    files = spark.read.option("wholetext", True).text(f"{root}/*/*/*/{name}")
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    return files.select(*(F.try_element_at(parts, F.lit(i)).alias(k) for k, i in zip(KEY, (-4, -3, -2), strict=True)), F.col("value").alias("document"))
+    files = spark.read.format("binaryFile").load(f"{root}/*/*/*/{name}")
+    parts = F.split("path", "/")
+    return files.select(*(F.element_at(parts, i).alias(k) for k, i in zip(KEY, (-4, -3, -2), strict=True)), F.col("content").cast("string").alias("document"))
 
 
 def fill_from_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
