@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import aliases
 from ..functions.units import compared_error
+from ..session import written
 
 TOLERANCE = 0.20
 
@@ -21,18 +24,37 @@ def candidates(truth: DataFrame, found: DataFrame, keys: list[str], name: str =
     return counted.select(*keys, "g", "p", (F.col("overlap") / (F.col("_gn") + F.col("_pn") - F.col("overlap"))).alias("jaccard"), "overlap")
 
 
-def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matches, best first: by jaccard, overlap, then names. A fold
-    over the sorted candidates of one key (a sample's parameters: a few dozen)."""
-    best_first = F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("j"), (-F.col("overlap")).alias("o"), "g", "p")))
-
-    def take(chosen: Column, c: Column) -> Column:
-        clash = F.exists(chosen, lambda z: (z["g"] == c["g"]) | (z["p"] == c["p"]))
-        return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(F.struct(c["g"].alias("g"), c["p"].alias("p")))))
-
-    empty = F.array().cast("array<struct<g:string,p:string>>")
-    folded = pairs.groupBy(*keys).agg(F.aggregate(best_first, empty, take).alias("_m"))
-    return folded.select(*keys, F.inline("_m"))
+def greedy(pairs: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
+    """One-to-one matches, best first: by jaccard, overlap, then names.
+
+    In rounds: a pair that is the best of both its names would be taken before any
+    pair that shares a name with it, so all such pairs are taken at once, and
+    pairs with a name that is taken go. As the order is total, the result is that
+    of taking pairs one by one. Each round needs the best pair of every name, a
+    plain aggregate; no key's pairs meet in one task or array. Every round takes the best
+    pair left of each key at least; most keys are done after two or three.
+    ``rounds``, if given, ends the work early with an error rather than a part.
+    """
+    best = lambda other: F.min(F.struct((-F.col("jaccard")).alias("j"), (-F.col("overlap")).alias("o"), F.col("g"), F.col("p")))[other].alias(other)
+    left, out, done = written(pairs.select(*keys, "g", "p", "jaccard", "overlap")), [], 0
+    while not left.isEmpty():
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"pairs are left after {rounds} rounds")
+        by_g, by_p = left.groupBy(*keys, "g").agg(best("p")), left.groupBy(*keys, "p").agg(best("g"))
+        taken = written(_same(by_g, by_p, [*keys, "g", "p"], "inner"))
+        out.append(taken)
+        left = written(_same(_same(left, taken, [*keys, "g"], "left_anti"), taken, [*keys, "p"], "left_anti"))
+        done += 1
+    return reduce(DataFrame.unionByName, out) if out else left.select(*keys, "g", "p")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Rows of ``a`` joined to equal keys of ``b``, null equal to null."""
+    other = b.select(*(F.col(k).alias(f"_r_{k}") for k in keys))
+    rule = F.lit(True)
+    for k in keys:
+        rule = rule & a[k].eqNullSafe(other[f"_r_{k}"])
+    return a.join(other, rule, how).select(*a.columns)
 
 
 def matched_errors(matches: DataFrame, truth: DataFrame, found: DataFrame, keys: list[str], name: str = "name", value: str = "value", unit: str = "unit") -> DataFrame:

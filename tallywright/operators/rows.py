@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 
 def in_list(column: str, values: list | None, empty_passes: bool = False) -> Column:
     """Filter by a list; None lets all pass, an empty list none (or all)."""
@@ -41,22 +43,14 @@ def deduplicated(df: DataFrame, keys: list[str], order: list[str], policy: str =
     return {"none": lambda: df, "first": lambda: first_wins(df, keys, order), "last": lambda: last_wins(df, keys, order)}[policy]()
 
 
-def numbered(df: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Number rows 0.. by an integer column, without bringing all rows into one
-    task: counts of 4,096 ranges of ``order`` are summed up, and rows are
-    numbered inside their range."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    step = max(1, ((high or 0) - (low or 0)) // 4096 + 1)
-    ranged = df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / step))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    placed = ranged.withColumn("_inside", inside).join(F.broadcast(counts), "_range")
-    return placed.withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_range", "_inside", "_before")
+def numbered(df: DataFrame, order: str | list[str], name: str = "place") -> DataFrame:
+    """Number rows 0.. by columns of any type, of equal ones by those that follow,
+    without bringing all rows into one task."""
+    return placed(df, [F.col(c) for c in ([order] if isinstance(order, str) else order)], name)
 
 
-def shard(df: DataFrame, order: str, shards: int, number: int) -> DataFrame:
-    """Every ``shards``-th row in the order of a column."""
+def shard(df: DataFrame, order: str | list[str], shards: int, number: int) -> DataFrame:
+    """Every ``shards``-th row in the order of columns."""
     return numbered(df, order).where(F.pmod("place", F.lit(shards)) == number)
 
 

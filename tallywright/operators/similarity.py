@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 #: Edges of the histogram.
 EDGES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -39,12 +41,9 @@ def frame_indices(n: Column, wanted: int) -> Column:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: tuple = (5, 10, 25, 75, 90, 95)) -> DataFrame:
-    """Values at place rint(p / 100 * (n - 1)) of the sorted values, half to
-    even. Places are picked by rank, so no group is gathered into an array."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    pick = [F.max(F.when(F.col("_i") == F.rint(F.lit(p / 100.0) * (F.col("_n") - 1)).cast("int"), F.col("_v"))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.median("_v").alias("median"), *pick, F.min("_v").alias("low"), F.max("_v").alias("high"))
+    """Distribution of each key with values at place rint(p / 100 * (n - 1)) of its
+    sorted values, half to even."""
+    return percentiles(df, keys, value, percents)
 
 
 def edge_bin(value: Column, edges: tuple = EDGES) -> Column:

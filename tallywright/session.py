@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tallywright", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,10 +25,23 @@ def build_session(app: str = "tallywright", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-    Only local sessions may leave that unset."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors
+    share. Only local sessions may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return f"{(named or tempfile.gettempdir()).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return (named or tempfile.gettempdir()).rstrip("/")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder in the shared one."""
+    return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, computed now and read from the checkpoint folder from here on."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
