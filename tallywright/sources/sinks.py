@@ -27,28 +27,43 @@ def _rows(df: DataFrame, most: int) -> list:
     return rows
 
 
-def _cells(rows: list) -> list[list[str]]:
-    return [[("-" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)) for v in r] for r in rows]
+def plain(value) -> str:
+    return "-" if value is None else f"{value:.4g}" if isinstance(value, float) else str(value)
 
 
-def markdown(df: DataFrame, align: dict[str, str] | None = None, most: int = 1000) -> str:
-    """Markdown table of a report; ``align`` has l, r or c by column."""
+def places(n: int, missing: str = "--"):
+    """A format with ``n`` decimal places; null and NaN are ``missing``."""
+    return lambda v: missing if v is None or v != v else f"{v:.{n}f}"
+
+
+def percent(n: int = 1, missing: str = "--", sign: str = "%"):
+    """A format of shares as percentages; null and NaN (nothing to divide by) are ``missing``."""
+    return lambda v: missing if v is None or v != v else f"{100 * v:.{n}f}{sign}"
+
+
+def _cells(rows: list, formats: dict | None = None) -> list[list[str]]:
+    return [[(formats or {}).get(name, plain)(r[name]) for name in r.__fields__] for r in rows]
+
+
+def markdown(df: DataFrame, align: dict[str, str] | None = None, most: int = 1000, formats: dict | None = None) -> str:
+    """Markdown table of a report; ``align`` has l, r or c by column, ``formats`` a
+    function from values to text."""
     marks = {"l": ":--", "r": "--:", "c": ":-:"}
     head = "| " + " | ".join(df.columns) + " |"
     rule = "| " + " | ".join(marks[(align or {}).get(c, "l")] for c in df.columns) + " |"
-    return "\n".join([head, rule, *("| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in _cells(_rows(df, most)))])
+    return "\n".join([head, rule, *("| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in _cells(_rows(df, most), formats))])
 
 
-def fixed_width(df: DataFrame, most: int = 1000) -> str:
-    rows = [df.columns, *_cells(_rows(df, most))]
+def fixed_width(df: DataFrame, most: int = 1000, formats: dict | None = None) -> str:
+    rows = [df.columns, *_cells(_rows(df, most), formats)]
     widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)
 
 
-def latex(df: DataFrame, best: dict[str, set] | None = None, label: str = "model", most: int = 1000) -> str:
+def latex(df: DataFrame, best: dict[str, set] | None = None, label: str = "model", most: int = 1000, formats: dict | None = None) -> str:
     """Rows of a LaTeX table; cells of ``best[column]`` (labels) are bold."""
     rows, out = _rows(df, most), []
-    for row, cells in zip(rows, _cells(rows), strict=True):
+    for row, cells in zip(rows, _cells(rows, formats), strict=True):
         shown = [f"\\textbf{{{c}}}" if row[label] in (best or {}).get(name, ()) else c.replace("_", "\\_") for name, c in zip(df.columns, cells, strict=True)]
         out.append(" & ".join(shown) + r" \\")
     return "\n".join(out)
