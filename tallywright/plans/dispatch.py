@@ -6,12 +6,14 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import scoring
+from ..operators import matching, parameters, scoring
 from ..operators.judges import Answer
 from ..session import shared_folder
-from ..sources import files, groundtruth
+from ..sources import files, groundtruth, stages
 from . import register
-from .views import ATTEMPT, attempt, read
+from .judgments import rounded
+from .runs import GREEDY, matched
+from .views import ATTEMPT, RUN, attempt, read, run
 
 
 class Rule:
@@ -92,3 +94,35 @@ def discovered_ground_truth(spark, d):
     placed.select(*groundtruth.KEY, groundtruth.ORIGINAL).write.option("header", True).csv(f"{base}/manifest")
     found = groundtruth.discover(spark, tree, f"{base}/manifest")
     return found.join(groundtruth.documents(found), list(groundtruth.KEY)).select(*groundtruth.KEY, "from_manifest", "document")
+
+
+@register("names_within", f"""{GREEDY}, w AS (SELECT sample, array_to_string(list_sort(list(DISTINCT g)), ',') AS names FROM err WHERE rel_err <= 0.2::DOUBLE GROUP BY sample)
+SELECT t.sample, CASE WHEN t.sample < 'Brand#3' THEN coalesce(w.names, '') END AS names FROM (SELECT DISTINCT sample FROM g) t LEFT JOIN w ON w.sample = t.sample""")
+def names_within(spark, d):
+    """Names matched within tolerance; null where a sample's output counts as unparsed."""
+    truth, found, pairs = matched(spark, d)
+    errors = matching.matched_errors(pairs, truth, found, ["sample"])
+    samples = truth.select("sample").distinct().withColumn("parsed", F.col("sample") < "Brand#3")
+    return parameters.within(errors, samples, ["sample"], "parsed").select("sample", F.array_join("names_within", ",").alias("names"))
+
+
+@register("stored_summary", f"WITH {RUN} SELECT model, reason, count(*) AS n, round(avg(wall), 6) AS mean FROM run GROUP BY model, reason HAVING count(*) >= 3")
+def stored_summary(spark, d):
+    """Means stored as a stage, then summed up from what is stored only."""
+    path, inputs, told = shared_folder(spark, "summary"), [f"{d}/events.parquet"], {"least": 3}
+
+    def compute():
+        return run(spark, d).groupBy("model", "reason").agg(F.count(F.lit(1)).alias("n"), F.avg("wall").alias("mean")).where(F.col("n") >= told["least"])
+
+    stages.stored(spark, path, inputs, told, compute)
+    return rounded(stages.stored(spark, path, inputs, told, compute, only_stored=True), "mean")
+
+
+@register("appended_once", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'second' ELSE 'first' END AS source FROM orders")
+def appended_once(spark, d):
+    """Two appends that overlap, the first one repeated: each key once, as it came first."""
+    path, orders = shared_folder(spark, "appended"), read(spark, d, "orders")
+    first = orders.where("o_orderstatus <> 'P'").select("o_orderkey", F.lit("first").alias("source"))
+    for rows in (first, first, orders.where("o_orderstatus <> 'F'").select("o_orderkey", F.lit("second").alias("source"))):
+        out = stages.append_new(rows, path, ["o_orderkey"])
+    return out

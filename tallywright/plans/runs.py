@@ -270,7 +270,7 @@ def _sides(spark, d):
     return p.where("side = 'gt'"), p.where("side = 'pred'")
 
 
-def _matched(spark, d):
+def matched(spark, d):
     gt, pred = _sides(spark, d)
     pairs = matching.greedy(matching.candidates(gt, pred, ["sample"]), ["sample"])
     return gt, pred, pairs
@@ -284,12 +284,12 @@ def alias_candidates(spark, d):
 
 @register("greedy_match", f"{GREEDY} SELECT sample, g, p FROM m")
 def greedy_match(spark, d):
-    return _matched(spark, d)[2]
+    return matched(spark, d)[2]
 
 
 @register("unit_relative_error", f"{GREEDY} SELECT sample, g, p, compared_unit, round(rel_err, 6) AS rel_err, rel_err <= 0.2::DOUBLE AS within FROM err")
 def unit_relative_error(spark, d):
-    gt, pred, pairs = _matched(spark, d)
+    gt, pred, pairs = matched(spark, d)
     return rounded(matching.matched_errors(pairs, gt, pred, ["sample"]), "rel_err")
 
 
@@ -300,7 +300,7 @@ _EVAL = GREEDY + """, ev AS (SELECT t.sample, n_gt, coalesce(n_pred, 0) AS n_pre
 
 
 def _evaluated(spark, d):
-    gt, pred, pairs = _matched(spark, d)
+    gt, pred, pairs = matched(spark, d)
     return matching.evaluation(matching.matched_errors(pairs, gt, pred, ["sample"]), gt, pred, ["sample"])
 
 
@@ -318,7 +318,7 @@ def param_summary(spark, d):
 
 @register("unmatched_params", f"{GREEDY} SELECT g.sample, g.g AS name FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.sample = g.sample AND m.g = g.g)")
 def unmatched_params(spark, d):
-    gt, _, pairs = _matched(spark, d)
+    gt, _, pairs = matched(spark, d)
     return matching.unmatched(gt, pairs, ["sample"]).select("sample", "name")
 
 
