@@ -237,8 +237,8 @@ g AS (SELECT section, value, count(*) AS n, count(*) FILTER (api) AS api_errors,
 SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, value) AS rank FROM g QUALIFY rank <= CASE section WHEN 'experiment' THEN 10 WHEN 'ending' THEN 5 WHEN 'message' THEN 5 ELSE 1000000 END""")
 def failure_analysis(spark, d):
     bad = read(spark, d, "labels").where("quality = 0").select("doc_id")
-    failed = read(spark, d, "documents").join(bad, "doc_id", "left_semi").selectExpr("lang AS engine", "source AS experiment", "text AS raw_output", f"{_MESSAGE} AS parse_error", "doc_id % 3 = 0 AS parse_ok_code")
-    return rounded(reports.failure_analysis(failed), "mean")
+    outputs = read(spark, d, "documents").selectExpr("doc_id", "lang AS engine", "source AS experiment", "text AS raw_output", f"{_MESSAGE} AS parse_error", "doc_id % 3 = 0 AS parse_ok_code")
+    return rounded(reports.failure_analysis(outputs, only=bad, keys=("doc_id",)), "mean")
 
 
 @register("worth_retry", f"WITH {RUN} SELECT sample, reason = 'error' AS again FROM run")
