@@ -2,7 +2,7 @@
 into one task.
 
 Rows are dealt over ranges of the full order (Spark samples the bounds), sorted
-inside their range and written to the checkpoint folder; a row's place is its
+inside their range and written to the shared folder; a row's place is its
 place in the range plus the rows of the ranges before. Equal rows are told apart
 by where they stood, so a value that a third of the rows share is dealt over many ranges
 too. Of what is written only the counts of the ranges, one number each, are
@@ -23,7 +23,7 @@ _PLACE_BITS = 33  #: of monotonically_increasing_id: the place in a partition; t
 def placed(df: DataFrame, order: list[Column], name: str = "place", ranges: int | None = None) -> DataFrame:
     """``df`` with each row's place, from 0, in the order of ``order``. Nulls come
     where ``order`` puts them; ties are in no order that can be relied on."""
-    ranges = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = df.withColumn("_tie", F.monotonically_increasing_id())
     dealt = told.repartitionByRange(ranges, *order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie"))
     kept = written(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
