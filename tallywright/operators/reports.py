@@ -50,12 +50,25 @@ def coverage(df: DataFrame, keys: list[str], sample: list[str], skipped: str = "
     return df.groupBy(*keys).agg(F.count_distinct(F.when(ok, F.struct(*sample))).alias("n_scored"), F.count_if(s).alias("n_skipped_rows"), F.count_distinct(F.when(s, F.struct(*sample))).alias("n_skipped"))
 
 
-def rates_of_all(attempts: DataFrame, runs: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
-    """Rates with all attempts as denominator: a missing run counts as failed."""
+def rates_of_all(attempts: DataFrame, runs: DataFrame, keys: list[str], flags: list[str], means: dict[str, Column] | None = None) -> DataFrame:
+    """Rates with all attempts as denominator: a missing run counts as failed. ``means``
+    are averages over those runs that have the value, null where none has."""
     total = attempts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_attempts"))
-    good = runs.groupBy(*keys).agg(*(F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f"n_{f}") for f in flags))
+    good = runs.groupBy(*keys).agg(*(F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f"n_{f}") for f in flags), *(F.avg(c).alias(f"mean_{n}") for n, c in (means or {}).items()))
     joined = total.join(good, keys, "left")
-    return joined.select(*keys, "n_attempts", *(F.coalesce(f"n_{f}", F.lit(0)).alias(f"n_{f}") for f in flags), *((F.coalesce(f"n_{f}", F.lit(0)) / F.col("n_attempts")).alias(f"rate_{f}") for f in flags))
+    return joined.select(*keys, "n_attempts", *(F.coalesce(f"n_{f}", F.lit(0)).alias(f"n_{f}") for f in flags), *((F.coalesce(f"n_{f}", F.lit(0)) / F.col("n_attempts")).alias(f"rate_{f}") for f in flags), *(f"mean_{n}" for n in means or {}))
+
+
+def rescued(original: DataFrame, recovered: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """Both flags before and after recovery, in one aggregate over both tables: how many
+    rows have the first, the second, both and neither, and ``rescued``, by how many
+    more have the first one afterwards. A key of one table only counts as 0 in the other."""
+    f, s = (F.coalesce(F.col(c), F.lit(False)) for c in (first, second))
+    tagged = original.select(*keys, f.alias("_f"), s.alias("_s"), F.lit(False).alias("_after")).unionByName(recovered.select(*keys, f.alias("_f"), s.alias("_s"), F.lit(True).alias("_after")))
+    first_ok, second_ok = F.col("_f"), F.col("_s")
+    kinds = {"total": F.lit(True), "first": first_ok, "second": second_ok, "both": first_ok & second_ok, "neither": ~first_ok & ~second_ok}
+    counts = [F.count_if(rule & when).alias(f"{name}_{kind}") for name, when in (("before", ~F.col("_after")), ("after", F.col("_after"))) for kind, rule in kinds.items()]
+    return tagged.groupBy(*keys).agg(*counts).withColumn("rescued", F.col("after_first") - F.col("before_first"))
 
 
 def best_in_group(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:

@@ -44,6 +44,26 @@ def engine_rates_all_attempts(spark, d):
     return rounded(reports.rates_of_all(r, r.where("NOT skipped"), ["model", "engine"], FLAGS), *(f"rate_{f}" for f in FLAGS))
 
 
+@register("engine_summary", f"""WITH {RUN}, a AS (SELECT model, engine, count(*) AS n_attempts FROM run GROUP BY ALL),
+g AS (SELECT model, engine, count(*) FILTER (syntax_ok) AS n_syntax_ok, round(avg(wall) FILTER (reason = 'view'), 6) AS mean_codebleu FROM run WHERE NOT skipped GROUP BY ALL)
+SELECT model, engine, n_attempts, coalesce(n_syntax_ok, 0) AS n_syntax_ok, round(coalesce(n_syntax_ok, 0) / n_attempts, 6) AS rate_syntax_ok, mean_codebleu FROM a LEFT JOIN g USING (model, engine)""")
+def engine_summary(spark, d):
+    """Rates over all attempts beside a mean over the scored ones only."""
+    r = run(spark, d)
+    score = F.when(F.col("reason") == "view", F.col("wall"))
+    return rounded(reports.rates_of_all(r, r.where("NOT skipped"), ["model", "engine"], ["syntax_ok"], {"codebleu": score}), "rate_syntax_ok", "mean_codebleu")
+
+
+@register("rescued_attempts", f"""WITH {ATTEMPT}, r AS (SELECT *, parse_ok OR customer % 4 = 0 AS now_ok FROM attempt)
+SELECT model, count(*) AS before_total, count(*) FILTER (parse_ok) AS before_first, count(*) FILTER (code_ok) AS before_second, count(*) FILTER (parse_ok AND code_ok) AS before_both, count(*) FILTER (NOT parse_ok AND NOT code_ok) AS before_neither,
+  count(*) AS after_total, count(*) FILTER (now_ok) AS after_first, count(*) FILTER (code_ok) AS after_second, count(*) FILTER (now_ok AND code_ok) AS after_both, count(*) FILTER (NOT now_ok AND NOT code_ok) AS after_neither,
+  count(*) FILTER (now_ok) - count(*) FILTER (parse_ok) AS rescued FROM r GROUP BY model""")
+def rescued_attempts(spark, d):
+    original = attempt(spark, d)
+    recovered = original.withColumn("parse_ok", F.expr("parse_ok OR customer % 4 = 0"))
+    return reports.rescued(original, recovered, ["model"], "parse_ok", "code_ok")
+
+
 @register("best_in_group", f"""WITH {RUN}, m AS (SELECT engine, model, round(avg(value), 6) AS v FROM run GROUP BY ALL)
 SELECT engine, arg_max(model, (v, model)) AS best, max(v) AS best_value FROM m GROUP BY engine""")
 def best_in_group(spark, d):
