@@ -172,4 +172,4 @@ def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket(F.col("doc_id"), 4) == 2
-    return predict(docs, fit_from_table(docs.where(~held_out))).withColumn("held_out", held_out)
+    return predict(docs, fit_from_table(docs.where(~held_out))).withColumn("held_out", F.coalesce(held_out, F.lit(False)))

@@ -289,4 +289,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket(F.col("doc_id"), 5) == 0
     good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out)
-    return score(docs, fit(docs, good)).withColumn("held_out", held_out)
+    return score(docs, fit(docs, good)).withColumn("held_out", F.coalesce(held_out, F.lit(False)))

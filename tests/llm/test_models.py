@@ -47,6 +47,15 @@ def test_language_edge_cases(spark):
     assert nothing is None and {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def test_rows_without_id_are_not_held_out(spark, tmp_path):
+    rows = [(None if i == 3 else i, text(EN if i % 2 else DE), "en" if i % 2 else "de") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (language_id.query, lm_scoring.query):
+        got = query(spark, str(tmp_path)).select("doc_id", "held_out").collect()
+        assert len(got) == 40 and all(r.held_out in (True, False) for r in got) and [r.held_out for r in got if r.doc_id is None] == [False]
+
+
 def test_kernel_is_shared_grams_over_mean():
     """Against sets of n-grams; hashing may merge a few."""
     def grams(t):
