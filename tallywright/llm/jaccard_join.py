@@ -127,6 +127,10 @@ class GlobalOrder:
     def _levels(self, hashes: np.ndarray) -> np.ndarray:
         return self.levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
+    def commonness(self, own: np.ndarray) -> float:
+        """Mean level of a set: each edit of a copied text puts rare shingles for common ones."""
+        return float(self._levels(own).mean()) if len(own) else 0.0
+
     def first(self, own: np.ndarray, n: int) -> np.ndarray:
         """The first ``n`` of a set, given sorted by hash."""
         return own[np.argsort(self._levels(own), kind="stable")[:n]]
@@ -178,12 +182,12 @@ def screened(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
 
 
 def signatures(docs: DataFrame, shared, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, set size, digest of the set, hub keys, prefix and sketches of every row."""
+    """doc_id, set size, commonness, digest of the set, hub keys, prefix and sketches of every row."""
 
     def run(batches):
         order = shared.value
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n", "digest", "hubs", "prefix", "parity", "fold")}
+            out: dict[str, list] = {c: [] for c in ("n", "common", "digest", "hubs", "prefix", "parity", "fold")}
             for _, n, value, at in _sets(batch, words):
                 bins = np.full(n * 2 * HUBS, np.iinfo(np.uint64).max, dtype=np.uint64)
                 turned = tk.mix(value + np.uint64(0x632BE59BD9B4E019))
@@ -194,14 +198,15 @@ def signatures(docs: DataFrame, shared, words: int = WORDS, percent: int = PERCE
                 for own in tk.row_sets(value, at, n):
                     length = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
                     out["n"].append(len(own))
+                    out["common"].append(order.commonness(own))
                     out["digest"].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     out["prefix"].append(order.first(own, length).tobytes())
                     out["parity"].append(parity(own))
                     out["fold"].append(odd_bits(own, FOLD_BITS))
-            kinds = {"n": pa.int64(), "hubs": pa.list_(pa.int64())}
+            kinds = {"n": pa.int64(), "common": pa.float64(), "hubs": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
-    schema = "doc_id long, n long, digest binary, hubs array<long>, prefix binary, parity binary, fold binary"
+    schema = "doc_id long, n long, common double, digest binary, hubs array<long>, prefix binary, parity binary, fold binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(tk.tidy(run), schema)
 
 
@@ -255,15 +260,16 @@ def linked(pairs: DataFrame, docs: DataFrame, shared, words: int = WORDS, percen
 
 
 def hub_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, na, nb): each of ``nodes`` (id, n, hubs) with the hub of each of
-    its buckets, where sizes allow a link. The hub is the member that meets the
-    most others in its buckets, so the least edited copy of a group rather than
-    any one of them."""
-    buckets = nodes.select("id", "n", F.explode("hubs").alias("bucket"))
+    """(a, b, na, nb): each of ``nodes`` (id, n, common, hubs) with the hub of
+    each of its buckets, where sizes allow a link. The hub is the member that
+    meets the most others in its buckets, of equal ones (edits often leave all
+    buckets as they are) that with the most common shingles, so the least edited
+    copy of a group rather than any one of them."""
+    buckets = nodes.select("id", "n", "common", F.explode("hubs").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(buckets.join(shared, "bucket"))
     met = met.join(met.groupBy("id").agg(F.sum("size").alias("met")), "id")
-    hubs = met.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("met"), "id", "n")).alias("hub"))
+    hubs = met.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("met"), (-F.col("common")).alias("common"), "id", "n")).alias("hub"))
     starred = met.join(hubs, "bucket").where("id <> hub.id").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
     ordered = F.when(F.col("id") < F.col("hub.id"), F.struct(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb")))
     ordered = ordered.otherwise(F.struct(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
@@ -400,7 +406,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = cut(signatures(docs, shared, words, percent))
     known = rows.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    nodes = cut(known.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "hubs", "prefix", "parity", "fold"))
+    nodes = cut(known.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "common", "hubs", "prefix", "parity", "fold"))
     source = once(docs, rows)
     count = lambda pairs: cut(linked(cut(screened(pairs, nodes, percent)), source, shared, words, percent).select("a", "b"))
 

@@ -14,6 +14,14 @@ from tallywright.llm.components import connected
 
 DOCS = "doc_id long, text string, lang string, digest string, _text string, n long"
 random.seed(5)
+
+
+@pytest.fixture(autouse=True)
+def seeded(request):
+    """Each test draws from a stream of its own, whatever ran before it."""
+    random.seed(request.node.name)
+
+
 WORDS = ["alpha", "Beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa"]
 
 
@@ -126,8 +134,10 @@ def test_prefix_pairs_alone_lose_nothing(spark, monkeypatch, block):
     assert {(i, got.get(i, i)) for i, _ in want} == want
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("seed", range(4))
+def test_large_group_of_near_copies(spark, seed):
     """2,000 near copies, and as many texts that share half of their words: pairs stay linear in them."""
+    random.seed(seed)
     base, other = prose(120), prose(60)
     texts = [edited(base, random.randrange(5)) for _ in range(2000)] + [other + " " + prose(60) for _ in range(500)]
     docs = table(spark, texts)
