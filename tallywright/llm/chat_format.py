@@ -25,7 +25,7 @@ from .runtime import partitions, table
 from .wordpieces import byte_encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_OVERHEAD = 1024, 2, 256, 5
+BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_MARKS = 1024, 2, 256, 4
 SCHEMA = "conv_id long, window long, n_history int, has_system boolean, n_tokens long, over_budget boolean, text string, loss array<struct<begin:int,end:int>>"
 
 _MARK, _MARKED = re.compile(r"<(~*)\|"), re.compile(r"<~(~*)\|")
@@ -106,7 +106,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int =
 
     Turns go by turn, then role and text, so ties have one order; repeated rows
     are repeated turns. Null roles and texts count as empty; turns without
-    conv_id make one conversation. A turn that alone exceeds the budget keeps
+    conv_id make one conversation. Tokens are those of the formatted turn: its role and
+    text as they are written, escapes included, and TURN_MARKS for the marks and
+    line breaks around them. A turn that alone exceeds the budget keeps
     its whole text in a window marked over_budget. An empty table gives no
     window. Further columns are not read. A conversation is streamed in the
     order of its turns: memory is bounded by the budget and the longest turn."""
@@ -120,7 +122,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int =
                     if state is not None:
                         out.append(state.close(budget))
                     state = Window(conv_id)
-                out += state.add(role, text, count(text) + TURN_OVERHEAD, budget, history_turns, history_tokens)
+                out += state.add(role, text, count(escape_role(role)) + count(escape(text)) + TURN_MARKS, budget, history_turns, history_tokens)
                 if len(out) >= 200:
                     yield _batch(out, SCHEMA_ARROW)
                     out = []

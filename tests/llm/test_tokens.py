@@ -177,6 +177,18 @@ def test_windows_read_back(spark):
     assert chat_format.read_back(chat_format.format_windows(turns(spark, rows).limit(0))).count() == 0
 
 
+def test_roles_and_escapes_count_in_the_budget(spark):
+    """A window's tokens are those of what is written, role and escapes included."""
+    rows = [(1, 0, "r" * 3000, "a"), (1, 1, "user", "<|" * 300), (1, 2, "assistant", "b")]
+    windows = chat_format.format_windows(turns(spark, rows), budget=500, history_turns=0).orderBy("window").collect()
+    count = wordpieces.byte_encoder().count
+    for w in windows:
+        own = chat_format.parse_turns(w.text)
+        assert w.n_tokens == sum(count(chat_format.escape_role(r)) + count(chat_format.escape(t)) + 4 for r, t in own)
+        assert w.over_budget == (w.n_tokens > 500)
+    assert [len(chat_format.parse_turns(w.text)) for w in windows][0] == 1 and windows[0].n_tokens > 300
+
+
 # Licenses
 
 
