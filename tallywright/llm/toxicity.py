@@ -19,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import bucket, table
+from .runtime import bucket, small, table
 
-#: Most texts of each kind that a model is fitted on, and the longest of them.
+#: Most texts of each kind that a model is fitted on, and their mean length beyond which fewer are.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 2000, 5000, 10_000
+#: Bounds of the class prior: a share of zero has no risk, and over the upper one "unlabelled" would mean toxic.
+LEAST_PRIOR, MOST_PRIOR = 0.005, 0.6
 #: A feature must occur in as many texts of the sample.
 SUPPORT = 5
 NOISE, ROUNDS, DECAY = 1.2, 4, 1e-4
@@ -157,21 +159,32 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return PuModel(names[chosen], w[:-1][chosen].astype(np.float32), float(w[-1]), prior)
 
 
+def sampled(ids: DataFrame, rows: int, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """At most ``rows`` of ``ids`` (doc_id, chars) in the order of a hash of the
+    id, texts of up to ``chars`` characters first. The rest is filled up with
+    longer ones, whole, until ``rows * chars`` characters are reached; the text
+    that reaches them is the last."""
+    order = [F.col("chars") > chars, F.xxhash64("doc_id", F.lit(10)), F.col("doc_id"), F.col("chars")]
+    first = ids.where(F.col("doc_id").isNotNull()).orderBy(*order).limit(rows)
+    before = F.sum("chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # of at most ``rows`` rows
+    return first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < rows * chars).select("doc_id").distinct()
+
+
 def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
-    """Fit on a bounded sample: at most SAMPLE_POSITIVE texts that ``labels``
-    marks toxic and SAMPLE_UNLABELLED others, of at most SAMPLE_CHARS
-    characters, in the order of a hash of their id. ``labels`` must hold only
+    """Fit on a bounded sample (``sampled``): at most SAMPLE_POSITIVE texts that
+    ``labels`` marks toxic and SAMPLE_UNLABELLED others, of SAMPLE_CHARS
+    characters in the mean. ``labels`` must hold only
     the rows that may be learnt from; the prior is the share of toxic ones
-    among them. Rows with a null id or mark are left out. Tasks make the feature
+    among them, but no less than LEAST_PRIOR and no more than MOST_PRIOR. Rows with a null id or mark are left out. Tasks make the feature
     sets; only these come to the driver."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     share = marks.agg(F.avg("toxic")).first()[0]
-    prior = min(0.6, max(0.005, share or 0.005))
-    order = F.xxhash64("doc_id", F.lit(10))
-    toxic = marks.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE_POSITIVE)
-    other = docs.where(F.col("doc_id").isNotNull() & (bucket(F.col("doc_id"), 5) != 0)).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE_UNLABELLED)
+    prior = min(MOST_PRIOR, max(LEAST_PRIOR, share or 0.0))
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    toxic = sampled(sizes.join(small(marks.where("toxic = 1").select("doc_id").distinct()), "doc_id", "left_semi"), SAMPLE_POSITIVE)
+    other = sampled(sizes.where(bucket(F.col("doc_id"), 5) != 0), SAMPLE_UNLABELLED)
     sample = toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def sets(batches):
         for batch in batches:

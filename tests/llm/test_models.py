@@ -228,3 +228,22 @@ def test_every_language_can_be_predicted(spark):
     got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
     assert got[len(rows) - 2] == "long" and got[len(rows) - 1] == "rare"
     assert sum(got[i] == lang for i, (_, lang) in enumerate(rows[:-2])) >= len(rows) - 12
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """All labelled texts are over the mean length that the sample is bounded by."""
+    rows = [(text(EN + [f"w{k}" for k in random.sample(range(5000), 300)], 2500, ["vile", "scum", "wretch"] if i % 4 == 0 else ()), None) for i in range(160)]
+    assert min(len(t) for t, _ in rows) > toxicity.SAMPLE_CHARS
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit_from_tables(docs(spark, rows), labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, rows), model).collect()}
+    assert got == {i: int(i % 4 == 0) for i in range(160)}
+
+
+def test_toxicity_sample_is_refilled_and_bounded(spark):
+    ids = spark.createDataFrame([(i, 50 if i < 4 else 30) for i in range(20)] + [(None, 1), (9, 30)], "doc_id long, chars long")
+    short = {r.doc_id for r in toxicity.sampled(ids, 10, 40).collect()}
+    assert len(short) in (9, 10) and not short & set(range(4))  # id 9 may be there twice
+    every = {r.doc_id for r in toxicity.sampled(ids, 30, 40).collect()}
+    assert every == set(range(20))
+    assert len({r.doc_id for r in toxicity.sampled(ids.where("chars = 50"), 3, 20).collect()}) == 2  # 60 characters are reached by the second
