@@ -4,8 +4,11 @@ Lines with a word that licenses use, and their neighbours, are candidate
 blocks. A block is compressed by zstandard alone and with each template as raw
 dictionary, which ranks the templates. Every template whose words could be there
 is confirmed by the exact wording: words of the template that the block lacks,
-and words that it adds between them, are listed and must be few. They are looked
-for as far around a cue as the template is long, and taken once.
+and words that it adds between them, are listed and must be few, and none of them
+may tell kin apart: a word of a license's name, a version, or anything inside a
+name ("GNU Library General"). They are looked for as far around a cue as the
+template is long, and taken once. SPDX-License-Identifier lines are taken first,
+as they stand.
 """
 
 from __future__ import annotations
@@ -42,18 +45,34 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
     "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
     "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-3.0 notice": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-NC-4.0 long notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0 long notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
     "All rights reserved": "All rights reserved.",
 }
 
+#: Words of names by which licenses differ from their kin, and of grants for later versions.
+NAMES = {
+    "affero", "apache", "attribution", "boost", "bsd", "cc", "cc0", "commons", "creative", "eclipse", "eupl", "european", "general", "gnu", "isc", "later", "lesser", "mit", "mozilla",
+    "nc", "nd", "noncommercial", "non-commercial", "noderivatives", "noderivs", "public", "sa", "sharealike",
+}
+_ELEMENTS = re.compile(r"(?:by|nc|nd|sa|attribution|non-?commercial|share-?alike|no-?deriv\w*)(?:-\w+)+|v?\d+(?:\.\d+)+|v\d+")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+\-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+\-]+\)*)*)")
+#: Cost of a difference that decides: more than all others of a text can cost.
+DECIDES = 1 << 32
+
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 SCHEMA = "doc_id long, begin int, end int, license string, confirmed boolean, saved double, same double, missing array<string>, added array<string>, ranked array<struct<license:string,saved:double>>"
@@ -86,6 +105,12 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def deciding(words: list) -> np.ndarray:
+    """Which words tell a license from its kin: of NAMES, elements joined by
+    hyphens, versions with a point, and numbers after "version" or "v"."""
+    return np.array([w is None or w in NAMES or bool(_ELEMENTS.fullmatch(w)) or (w.isdecimal() and before in ("version", "v")) for before, w in zip([None, *words], words, strict=False)], dtype=bool)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard as z
@@ -94,6 +119,8 @@ class Scanner:
         self.given = {n: z.ZstdCompressor(level=3, write_content_size=False, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
         self.own = {n: len(self.alone.compress(t.encode())) for n, t in templates.items()}
         self.words = {n: _WORD.findall(t.lower()) for n, t in templates.items()}
+        self.decides = {n: deciding(w) for n, w in self.words.items()}
+        self.needs = {n: {w for w, d in zip(words, self.decides[n], strict=True) if d} for n, words in self.words.items()}
 
     def rank(self, block: str) -> list[tuple[str, float]]:
         """Templates by the bytes that they save, per byte of their own compressed size."""
@@ -104,7 +131,7 @@ class Scanner:
 
     def possible(self, there: Counter, name: str) -> bool:
         """Whether words counted in ``there`` are enough, in whatever order, to confirm the template."""
-        return (Counter(self.words[name]) & there).total() >= LEAST_SAME * len(self.words[name])
+        return self.needs[name] <= there.keys() and (Counter(self.words[name]) & there).total() >= LEAST_SAME * len(self.words[name])
 
     def wording(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
         """Share of the template's words that the block has in order, those that
@@ -122,31 +149,34 @@ class Scanner:
                 added += block_words[a:b]
         return same / len(own), missing, added
 
-    def aligned(self, words: list, name: str) -> tuple[int, int, float, list[str], list[str]]:
+    def aligned(self, words: list, name: str) -> tuple[int, int, int, float, list[str], list[str]]:
         """The run of ``words`` with the fewest words of the template missing and
-        other words added: (begin, end, share present, missing, added)."""
-        own = self.words[name]
+        other words added, those that decide before all others:
+        (cost, begin, end, share present, missing, added)."""
+        own, decides = self.words[name], self.decides[name]
         numbers: dict = {}
         codes = np.array([-1 if w is None else numbers.setdefault(w, len(numbers)) for w in words])
-        steps = np.arange(len(words) + 1)
+        free = np.concatenate(([0], np.cumsum(np.where(deciding(words), DECIDES, 1))))  # cost of adding the words before a place
+        inside = np.arange(len(words) + 1) * DECIDES  # the same between two words of a name
         cost = np.zeros((len(own) + 1, len(words) + 1), dtype=np.int64)
+        gaps = [free if i == 0 or not (decides[i - 1] and decides[i : i + 1].all()) else inside for i in range(len(own) + 1)]
         for i, w in enumerate(own):
-            best = cost[i] + 1
+            best = cost[i] + (DECIDES if decides[i] else 1)
             at = np.flatnonzero(codes == numbers.get(w, -2))
             best[at + 1] = np.minimum(best[at + 1], cost[i][at])
-            cost[i + 1] = np.minimum.accumulate(best - steps) + steps
+            cost[i + 1] = np.minimum.accumulate(best - gaps[i + 1]) + gaps[i + 1]
         i, j = len(own), int(cost[-1].argmin())
-        end, missing, added = j, [], []
+        least, end, missing, added = int(cost[-1][j]), j, [], []
         while i:
             if j and words[j - 1] == own[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
                 i, j = i - 1, j - 1
-            elif cost[i, j] == cost[i - 1, j] + 1:
+            elif cost[i, j] == cost[i - 1, j] + (DECIDES if decides[i - 1] else 1):
                 i -= 1
                 missing.append(own[i])
             else:
                 j -= 1
                 added.append(words[j])
-        return j, end, 1 - len(missing) / len(own), missing[::-1], added[::-1]
+        return least, j, end, 1 - len(missing) / len(own), missing[::-1], added[::-1]
 
     def confirmed(self, words: list, first: int, last: int, saved: dict[str, float]):
         """The template with most words confirmed, of equal ones that with fewest
@@ -161,15 +191,15 @@ class Scanner:
             near = words[low : last + 1 + n + most]
             if not self.possible(Counter(near), name):
                 continue
-            begin, end, same, missing, added = self.aligned(near, name)
+            cost, begin, end, same, missing, added = self.aligned(near, name)
             order = (n - len(missing), -len(missing))
-            if same >= LEAST_SAME and len(added) <= most and None not in added and (best is None or order > best[0]):
+            if cost < DECIDES and same >= LEAST_SAME and len(added) <= most and (best is None or order > best[0]):
                 best = (order, name, low + begin, low + end, same, missing, added)
         return best
 
     def scan(self, text: str):
         """A row for each license that wording confirms near a cue; words once
-        taken serve no other. A block without any has one unconfirmed row."""
+        taken serve no other. An SPDX line gives its expression. A block without any has one unconfirmed row."""
         spans = [m.span() for m in _WORD.finditer(text)]
         words: list = [text[a:b].lower() for a, b in spans]
         starts, ends = [a for a, _ in spans], [b for _, b in spans]
@@ -178,6 +208,11 @@ class Scanner:
             ranked = self.rank(block)
             saved, head = dict(ranked), [{"license": n, "saved": s} for n, s in ranked[:RANKED]]
             found = left = False
+            for m in _SPDX.finditer(text, begin, end):
+                a, b = bisect.bisect_left(starts, m.start()), bisect.bisect_left(starts, m.end())
+                yield (m.start(), m.end(), m[1], True, saved.get(m[1], 0.0), 1.0, [], [], head)
+                words[a:b] = [None] * (b - a)
+                found = True
             for cue in _CUE.finditer(text, begin, end):
                 first, last = bisect.bisect_right(ends, cue.start()), bisect.bisect_left(starts, cue.end()) - 1
                 while any(w is not None for w in words[first : last + 1]):

@@ -260,3 +260,62 @@ def test_each_license_is_told_from_its_kin_however_wrapped(spark):
     for r in licenses.scan(docs(spark, [f"intro\n\n{text}\n\nmore prose" for _, text in wide])).collect():
         found.setdefault(r.doc_id, []).append((r.license, r.confirmed, r.same))
     assert [found.get(i) for i in range(len(wide))] == [[(name, True, 1.0)] for name, _ in wide]
+
+
+KIN = [
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0 notice"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", None),
+    ("This work is licensed under the GNU Library General Public License, version 3.", None),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0 long notice"),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0 long notice"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0 notice"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Licensed under the EUPL License, Version 2.0.", None),
+    (licenses.TEMPLATES["EPL-2.0"].replace("2.0", "1.0"), None),
+    (licenses.TEMPLATES["MPL-2.0"].replace("2.0", "1.1"), None),
+    (licenses.TEMPLATES["GPL-2.0-or-later"].replace("version 2", "version 3"), "GPL-3.0-or-later"),
+    (licenses.TEMPLATES["GPL-2.0-or-later"].replace("General", "Library General"), None),
+    (licenses.TEMPLATES["GPL-3.0-or-later"].replace(", or (at your option) any later version", ""), None),
+    ("// SPDX-License-Identifier: (GPL-2.0-only OR MIT)\nint x;", "(GPL-2.0-only OR MIT)"),
+    ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "Apache-2.0 WITH LLVM-exception"),
+]
+
+
+def test_a_word_that_decides_confirms_no_other_license(spark):
+    found: dict = {i: [] for i in range(len(KIN))}
+    for r in licenses.scan(docs(spark, [text for text, _ in KIN])).where("confirmed").collect():
+        found[r.doc_id].append(r.license)
+    assert [found[i] for i in range(len(KIN))] == [[want] if want else [] for _, want in KIN]
+
+
+def test_alignment_by_brute_force():
+    """Least cost of each template in the text of each other one."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, own in scanner.words.items():
+        must = licenses.deciding(own)
+        for words in scanner.words.values():
+            adds = licenses.deciding(words)
+            row = [0] * (len(words) + 1)
+            for i, w in enumerate(own):
+                gone = licenses.DECIDES if must[i] else 1
+                inside = must[i] and (i + 1 == len(own) or must[i + 1])
+                new = [row[0] + gone]
+                for j, x in enumerate(words):
+                    add = licenses.DECIDES if inside or adds[j] else 1
+                    new.append(min(row[j + 1] + gone, new[j] + add, row[j] if w == x else 1 << 60))
+                row = new
+            cost, begin, end, same, missing, added = scanner.aligned(words, name)
+            assert cost == min(row) and same == 1 - len(missing) / len(own)
+            assert end - begin == len(own) - len(missing) + len(added)
+
+
+def test_license_edge_cases(spark):
+    """Very long text, ties, repeated rows, null ids, clashing columns."""
+    long = "no cue here. " * 100_000 + "\nReleased under the MIT License.\n" + "x" * 1_000_000
+    rows = [(1, long), (2, "Released under the MIT License."), (2, "Released under the MIT License."), (None, "All rights reserved."), (3, None)]
+    df = spark.createDataFrame([(i, t, "x", True, 1.0, t) for i, t in rows], "doc_id long, text string, license string, confirmed boolean, saved double, _text string")
+    got = sorted(((r.doc_id, r.license, r.confirmed) for r in licenses.scan(df).collect()), key=str)
+    assert got == [(1, "MIT notice", True), (2, "MIT notice", True), (2, "MIT notice", True), (None, "All rights reserved", True)]
