@@ -28,6 +28,9 @@ TABLE_BITS = 22
 #: Characters of benchmark text that one pass over the documents looks for.
 BLOCK_CHARS = 8_000_000
 
+#: Pairs of a text's q-gram and a place of it in an item that are expanded at once.
+SLICE_HITS = 500_000
+
 #: Edits over the budget that an alignment tells apart, to pass over windows that can't be found.
 OVER = 16
 
@@ -260,56 +263,100 @@ def regions(index: Index, hit: np.ndarray, codes: np.ndarray, bounds: np.ndarray
     rows = np.searchsorted(bounds, at, side="right") - 1
     inside = at + Q <= bounds[rows + 1]
     at, j, rows = at[inside], j[inside], rows[inside]
-    count = index.first[j + 1] - index.first[j]
-    if not count.sum():
+    if not len(at):
         return
-    which = np.repeat(np.arange(len(at)), count)
-    posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[j], count)
-    item, place, row = index.items[posting], index.places[posting], rows[which]
-    diagonal = at[which] - bounds[row] - place
-    step = np.maximum(index.edits[item], 1)
-    band = np.floor_divide(diagonal, step)
-    # Key of (row, item, band); a hit counts in its band and in the one before, which overlap by half.
-    deep = int(max(np.diff(bounds).max(), 1) + max(len(c) for c in index.codes)) + 4
-    shift = max(len(c) for c in index.codes) + 2
-    base = (row * len(index.ids) + item) * deep + band + shift
-    keys, inverse, counts = np.unique(np.concatenate((base, base - 1)), return_inverse=True, return_counts=True)
-    least = np.array([own.need for own in index.windows])
-    kept = np.flatnonzero(counts >= least[(keys // deep) % len(index.ids)])
-    if not len(kept):
-        return
-    order = np.argsort(inverse, kind="stable")
-    begins = np.concatenate(([0], np.cumsum(counts)))
-    done, seen, left = set(), set(), []
-    for k in kept:
-        members = order[begins[k] : begins[k + 1]] % len(base)
-        r, it = int(row[members[0]]), int(item[members[0]])
+    by_item: dict[int, np.ndarray] = {}
+    done: list[tuple[int, int, int, set]] = []  # (row, item, band, (window, begin)) of the last few bands
+    seen, left = set(), []
+    for r, it, band in kept_bands(index, at, j, rows, bounds):
+        if it not in by_item:
+            if len(by_item) > 1000:
+                by_item.clear()
+            by_item[it] = grams(index.codes[it])
+        own = index.windows[it]
+        place, diagonal = band_hits(g[bounds[r] : max(bounds[r + 1] - Q + 1, bounds[r])], by_item[it], band, max(own.edits, 1))
         text = codes[bounds[r] : bounds[r + 1]]
-        if len(index.windows[it]) > 1:
-            left.append((r, it, members))
-        for b, w, e, need in index.windows[it].marks():
-            own = members[(place[members] >= b) & (place[members] <= b + w - Q)]
-            if len(own) < need:
+        if len(own) > 1:
+            left.append((r, it, band))
+        done = [x for x in done if x[:2] == (r, it) and x[2] >= band - 4]
+        before, now = [x[3] for x in done], set()
+        done.append((r, it, band, now))
+        for b, w, e, need in own.marks():
+            lo, hi = np.searchsorted(place, (b, b + w - Q + 1))
+            if hi - lo < need:
                 continue
-            pattern = index.codes[it][b : b + w]
-            main = int(np.median(diagonal[own]))
+            pattern, near = index.codes[it][b : b + w], diagonal[lo:hi]
+            main = int(np.median(near))
             piece = text[max(main + b, 0) : main + b + w]
             if len(piece) == w and np.array_equal(piece, pattern):
                 found = (0, main + b, main + b + w)
             else:
-                lo, hi = int(diagonal[own].min()) - e, int(diagonal[own].max()) + e
-                result = banded_distance(pattern, text, lo + b, hi + b, e)
+                result = banded_distance(pattern, text, int(near.min()) - e + b, int(near.max()) + e + b, e)
                 found = result and (result[0], max(result[1], 0), result[2])
-            if found and found[0] <= e and (r, it, b, found[1]) not in done:
-                done.add((r, it, b, found[1]))
+            if found and found[0] <= e and (b, found[1]) not in now and not any((b, found[1]) in x for x in before):
+                now.add((b, found[1]))
                 seen.add((r, it))
                 yield r, it, found[1], found[2], found[0]
-    for r, it, members in left:
-        if (r, it) not in seen and (found := between(index.windows[it], index.codes[it], codes[bounds[r] : bounds[r + 1]], place[members], diagonal[members])):
+    for r, it, band in left:
+        if (r, it) in seen:
+            continue
+        place, diagonal = band_hits(g[bounds[r] : max(bounds[r + 1] - Q + 1, bounds[r])], grams(index.codes[it]), band, max(index.windows[it].edits, 1))
+        if found := between(index.windows[it], index.codes[it], codes[bounds[r] : bounds[r + 1]], place, diagonal):
             seen.add((r, it))
             yield r, it, *found
 
 
+def kept_bands(index: Index, at: np.ndarray, j: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, item, band) in which as many q-grams are shared as some window of
+    the item needs; ``at`` are places of q-grams in order, ``j`` their numbers in the index.
+
+    Hits are expanded in slices. A band that the text has passed by more than an
+    item's length gets no more hits, so it is kept or dropped then: memory is that
+    of a slice and of the bands still open, however often a q-gram repeats."""
+    longest = max(len(c) for c in index.codes)
+    deep = int(max(np.diff(bounds).max(), 1) + longest) + 4
+    shift = longest + 2
+    least = np.array([own.need for own in index.windows])
+    steps = np.maximum(index.edits, 1)
+    count = index.first[j + 1] - index.first[j]
+    total = np.cumsum(count)
+    open_keys, open_counts, kept = np.empty(0, np.int64), np.empty(0, np.int64), []
+    expanded, end = 0, int(total[-1])
+    while expanded < end:
+        upto = min(expanded + SLICE_HITS, end)
+        lo, hi = (int(np.searchsorted(total, x, side="right")) for x in (expanded, upto - 1))
+        hit = np.repeat(np.arange(lo, hi + 1), np.minimum(total[lo : hi + 1], upto) - np.maximum(total[lo : hi + 1] - count[lo : hi + 1], expanded))
+        posting = index.first[j[hit]] + np.arange(expanded, upto) - (total[hit] - count[hit])
+        item, row = index.items[posting], rows[hit]
+        band = np.floor_divide(at[hit] - bounds[row] - index.places[posting], steps[item])
+        # A hit counts in its band and in the one before, which overlap by half.
+        base = (row * len(index.ids) + item) * deep + band + shift
+        keys, inverse = np.unique(np.concatenate((open_keys, base, base - 1)), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate((open_counts, np.ones(2 * len(base)))), len(keys)).astype(np.int64)
+        expanded = upto
+        of_row, item = keys // deep // len(index.ids), keys // deep % len(index.ids)
+        last = at[hi] - bounds[rows[hi]] - longest  # no hit to come has a lower diagonal in this row
+        passed = (of_row < rows[hi]) | ((keys % deep - shift + 2) * steps[item] <= last) if expanded < end else np.ones(len(keys), dtype=bool)
+        kept.append(keys[passed & (counts >= least[item])])
+        open_keys, open_counts = keys[~passed], counts[~passed]
+    keys = np.sort(np.concatenate(kept))
+    return [(k // deep // len(index.ids), k // deep % len(index.ids), k % deep - shift) for k in keys.tolist()]
+
+
+def band_hits(text: np.ndarray, own: np.ndarray, band: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, diagonal) of the q-grams that a text and an item share in a band of
+    two steps of diagonals, by place; read off along each diagonal."""
+    found = []
+    for d in range(band * step, (band + 2) * step):
+        lo, hi = max(0, -d), min(len(own), len(text) - d)
+        if lo < hi:
+            places = lo + np.flatnonzero(text[lo + d : hi + d] == own[lo:hi])
+            found.append(np.stack((places, np.full(len(places), d))))
+    place, diagonal = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    order = np.argsort(place, kind="stable")
+    return place[order], diagonal[order]
+
+
 def _scan(index: Index, hit: np.ndarray, column):
     data, offsets = tk.buffers(column)
     for lo, hi in tk.chunks(offsets):
@@ -343,7 +390,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: fl
     searched for, repeated items once; those under LEAST_CHARS characters are
     found where a text holds them without edits between bounds of words. An empty table on
     either side gives an empty result. Further columns are not read."""
-    source = docs.select("doc_id", F.col("text").alias("_text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
     schema = "doc_id long, item_id long, n_windows long, edits int, begin long, end long"
     out = None
     for index in _indexes(benchmark, window, edits):

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +303,49 @@ def test_repeated_rows_make_no_false_link(spark):
     got = jaccard_join.jaccard_components(docs.union(docs))
     rows = [tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()]
     assert set(rows) == want and len(rows) == 2 * len(texts)
+
+
+def test_bands_in_slices_are_those_of_one_slice(monkeypatch):
+    """Shared, repetitive and edited items: slices of few hits keep the same bands, counted by brute force."""
+    pick = random.Random(23)
+    letters = lambda n: "".join(pick.choice("abcdefgh ij") for _ in range(n))
+    items = [letters(200), letters(40), "-" * 150, "ab" * 60]
+    items.append(items[0][:120] + letters(60))
+    texts = [letters(50) + items[0][20:190] + letters(30) + "-" * 160, None, "ab" * 90, letters(300), items[1] + items[4], ""]
+    index = decontaminate.build_index(list(enumerate(items)))
+    hit = index.table()
+    whole = list(decontaminate._scan(index, hit, pa.array(texts, pa.string())))
+    assert {(r, it) for r, it, *_ in whole} >= {(0, 0), (0, 2), (2, 3), (4, 1), (4, 4)}
+    for hits in (911, 20_000):
+        monkeypatch.setattr(decontaminate, "SLICE_HITS", hits)
+        assert list(decontaminate._scan(index, hit, pa.array(texts, pa.string()))) == whole
+
+
+def test_hits_of_a_band_by_brute_force():
+    rng = np.random.default_rng(3)
+    for step in (1, 3):
+        text, own = rng.integers(0, 3, 50).astype(np.uint64), rng.integers(0, 3, 20).astype(np.uint64)
+        for band in range(-9, 20):
+            want = [(p, d) for p in range(20) for d in range(band * step, (band + 2) * step) if 0 <= p + d < 50 and text[p + d] == own[p]]
+            place, diagonal = decontaminate.band_hits(text, own, band, step)
+            assert sorted(zip(place.tolist(), diagonal.tolist(), strict=True)) == want
+
+
+def test_decontamination_of_repetitive_text_keeps_memory_bounded():
+    import tracemalloc
+
+    index = decontaminate.build_index([(1, "-" * 1000)])
+    hit = index.table()
+    tracemalloc.start()
+    found = sum(1 for _ in decontaminate._scan(index, hit, pa.array(["-" * 6000])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and most < 200_000_000
+
+
+def test_decontamination_edge_cases_of_rows(spark):
+    """Ids as text, null ids and repeated rows."""
+    item = "the quick brown fox jumps over the lazy dog while seven wizards box"
+    docs = spark.createDataFrame([("1", f"so {item} it goes"), ("1", f"so {item} it goes"), (None, item), ("2", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([(5, item), (5, item), (6, None)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()), key=str) == [(1, 5), (1, 5), (None, 5)]
