@@ -174,6 +174,21 @@ def test_codebleu():
     assert codebleu.score(code, "  ") == (None,) * 5
 
 
+def test_codes_are_spread_and_looked_at_once(spark, tmp_path, monkeypatch):
+    """A table of few bytes is read by one task; its codes must be scored by many."""
+    from tallywright.plans import catalog
+
+    spark.range(400).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    scored = catalog.queries()["codebleu"](spark, str(tmp_path))
+    sizes = [len(rows) for rows in scored.rdd.glom().collect()]
+    assert len(sizes) == 4 and min(sizes) >= 50 and sum(sizes) == 400
+    parsed = []
+    monkeypatch.setattr(codebleu.ast, "parse", lambda code, parse=codebleu.ast.parse: parsed.append(code) or parse(code))
+    codebleu.score("spread = 1", "spread = 2")
+    codebleu.score("spread = 1", "spread = 3")
+    assert sorted(parsed) == ["spread = 1", "spread = 2", "spread = 3"]
+
+
 def test_runnability():
     good = runnability.execute("open('video.mp4', 'w').write('x' * 10)", 20)
     assert good["runs_without_error"] and good["video_bytes"] == 10
