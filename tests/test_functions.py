@@ -231,3 +231,23 @@ def test_ngram_precision_covers_long_texts_and_all_references(spark, tmp_path):
     want = {(i, sum(g.values()), sum((g & most).values())) for i, g in grams.items() if g}
     got = {(r.doc_id, r.grams, r.clipped) for r in catalog.queries()["ngram_precision_all"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == 5
+
+
+def test_ngram_precision_of_repeated_and_missing_keys(spark, monkeypatch):
+    """Against counters: keys with a reference and another text, null keys; broadcast
+    and hashed; only what isn't a reference is compared."""
+    from collections import Counter
+
+    texts = [(1, True, "a b a b"), (1, False, "a b a b c"), (2, False, "a b a b a b a b x y"), (None, True, "x y x y x y"), (None, False, "x y z"), (3, True, "a b"), (4, None, "b a b c"), (5, False, "one")]
+    df = spark.createDataFrame(texts, "k int, ref boolean, text string").withColumn("t", F.split("text", " "))
+    count = lambda k, rule: sum((Counter(zip(t.split(" "), t.split(" ")[1:], strict=False)) for i, r, t in texts if i == k and rule(r)), Counter())
+    most = Counter()
+    for k in {k for k, *_ in texts}:
+        most |= count(k, lambda r: r is True)
+    want = {(k, g.total(), (g & most).total()) for k in {k for k, *_ in texts} if (g := count(k, lambda r: True))}
+    for rows in (200_000, 0):
+        monkeypatch.setattr(codebleu, "BROADCAST_ROWS", rows)
+        out = codebleu.clipped_precision(df, F.col("ref"), "k", "t", 2)
+        assert {(r.k, r.grams, r.clipped) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin [gram" not in plan
