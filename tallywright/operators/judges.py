@@ -10,7 +10,6 @@ from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import partial
 from typing import Protocol, TypeVar
 
 import pyarrow as pa
@@ -117,6 +116,23 @@ def fan_out(calls: Iterable[Callable[[], T]], concurrency: int) -> Iterator[T]:
                 left.cancel()
 
 
+def side_by_side(call: Callable[[dict], T], rows: list[dict], concurrency: int) -> list[T | None]:
+    """``call`` of each of a batch's rows, in their order: ``concurrency`` threads take
+    the next row each until none is left, so a slow call stops no other and no
+    row costs a task of a pool."""
+    out: list[T | None] = [None] * len(rows)
+    left = iter(range(len(rows)))
+
+    def work() -> None:
+        for i in left:
+            out[i] = call(rows[i])
+
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        for thread in [pool.submit(work) for _ in range(min(concurrency, len(rows)))]:
+            thread.result()
+    return out
+
+
 ANSWERED = "scores string, raw_response string, latency_s double, tokens_in long, tokens_out long, judge_error string"
 
 
@@ -138,15 +154,16 @@ def answered(work: DataFrame, judges: list[Judge], schema: dict | None = None, c
     nothing = Answer(None, None, None, None, None, None)
 
     def call(row: dict) -> Answer:
-        if row[user] is None:
-            return nothing
         chosen = by_name.get(row[judge])
         return Answer(error=f"no judge {row[judge]}") if chosen is None else ask(chosen, row[system], row[user], schema)
 
     def run(batches):
         for batch in batches:
             asked = batch.select([system, user, judge]).to_pylist()
-            answers = list(fan_out((partial(call, row) for row in asked), concurrency))
+            answers = [nothing] * len(asked)
+            at = [i for i, row in enumerate(asked) if row[user] is not None]
+            for i, answer in zip(at, side_by_side(call, [asked[i] for i in at], concurrency), strict=True):
+                answers[i] = answer
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *_answer_columns(answers)], names=[*kept, *(c.split()[0] for c in ANSWERED.split(", "))])
 
     return work.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", " + ANSWERED)

@@ -140,3 +140,32 @@ def test_judges_of_a_row_are_asked_together(spark):
     assert time.monotonic() - began < 2.5  # one after another would take 3 s
     assert [(r.sample, r.judge_model) for r in out] == [(s, f"j{i}") for s in (1, 2) for i in range(6)]
     assert all((r.scores is None) == (r.sample == 2) for r in out)
+
+
+def test_calls_of_a_batch_are_side_by_side_and_in_order():
+    """A slow call stops no other, and no more run at a time than may."""
+    running, most, ended = [], [], []
+
+    def call(row):
+        running.append(row)
+        most.append(len(running))
+        time.sleep(0.3 if row["i"] == 0 else 0.005)
+        running.remove(row)
+        ended.append(row["i"])
+        return row["i"]
+
+    assert judges.side_by_side(call, [{"i": i} for i in range(40)], 4) == list(range(40))
+    assert max(most) <= 4 and ended[-1] == 0
+    assert judges.side_by_side(call, [], 4) == []
+
+
+def test_planned_work_is_spread_and_null_keys_are_done(spark):
+    """Work is dealt over as many tasks as a shuffle has, whatever its bytes; attempts
+    are joined with what is done before tasks are exploded; null equals null."""
+    rows = [("e", None if i == 7 else "x", str(i), "m", True) for i in range(80)]
+    df = spark.createDataFrame(rows, "engine string, experiment string, sample_id string, model string, parse_ok_cot boolean")
+    done = spark.createDataFrame([("e", None, "7", "m", "law_validity", "j0"), ("e", "x", "8", "m", "law_validity", "j1"), ("e", "x", "8", "m", "law_validity", "j1"), ("e", "x", "9", "m", "other", "j0")], "engine string, experiment string, sample_id string, model string, scorer string, judge_model string")
+    planned = scoring.plan(df, ["law_validity"], ["j0", "j1"], done)
+    assert planned.rdd.getNumPartitions() == 4 and planned.columns == [*df.columns, "scorer", "judge_model", "skip_reason"]
+    got = sorted((r.sample_id, r.judge_model) for r in planned.collect())
+    assert got == sorted({(str(i), j) for i in range(80) for j in ("j0", "j1")} - {("7", "j0"), ("8", "j1")})
