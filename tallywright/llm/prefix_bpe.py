@@ -36,7 +36,7 @@ from .runtime import table
 from .wordpieces import DEFAULT, PATTERN
 
 #: What a worker remembers: verdicts on pairs, and encodings of short pieces.
-PAIRS, PIECES, PIECE_BYTES = 1 << 20, 1 << 18, 64
+PAIRS, PIECES, PIECE_BYTES = 1 << 20, 1 << 19, 64
 CHUNK_BYTES = 1 << 20
 
 
@@ -274,6 +274,7 @@ class Pieces(dict):
 
 
 _loaded: dict[str, Vocabulary] = {}
+_known: dict[str, Pieces] = {}
 
 
 def vocabulary(path: str | None = None) -> Vocabulary:
@@ -283,6 +284,15 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return _loaded[path]
 
 
+def known_pieces(path: str | None = None) -> Pieces:
+    """The pieces that this worker has learned, in earlier tasks too: most of a
+    task's pieces have occurred in others."""
+    path = path or DEFAULT
+    if path not in _known:
+        _known[path] = Pieces(vocabulary(path))
+    return _known[path]
+
+
 def _lists(rows: Iterator[Iterable[int]]) -> pa.Array:
     flat, bounds = array("i"), array("i", [0])
     for row in rows:
@@ -302,7 +312,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     """
 
     def run(batches):
-        words, find = Pieces(vocabulary(path)), regex.compile(pattern).findall
+        words, find = known_pieces(path), regex.compile(pattern).findall
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             _, offsets = tk.buffers(texts)

@@ -5,6 +5,7 @@ import random
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tallywright.llm import prefix_bpe
 from tallywright.llm.wordpieces import DEFAULT, PATTERN
@@ -142,3 +143,17 @@ def test_query_round_trip(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = __spark_entry__.queries()["op13_prefix_bpe"](spark, data).collect()
     assert len(got) == len(docs) and all(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() for r in got)
+
+
+def test_pieces_are_kept_between_tasks(spark):
+    """A second task of the same worker learns only what the first one lacked."""
+    @F.udf("int")
+    def kept(_):
+        from tallywright.llm import prefix_bpe
+
+        return len(prefix_bpe.known_pieces())
+
+    one = spark.createDataFrame([(1, "kept between tasks"), (2, " kept  between 12 tasks")], "doc_id long, text string").coalesce(1)
+    first, second = (prefix_bpe.encoded(one).orderBy("doc_id").collect() for _ in range(2))
+    assert first == second and [r.ids for r in first] == [prefix_bpe.Document(prefix_bpe.vocabulary(), t).ids() for t in ("kept between tasks", " kept  between 12 tasks")]
+    assert max(r.n for r in spark.range(0, 64, 1, 16).select(kept("id").alias("n")).collect()) >= 4
