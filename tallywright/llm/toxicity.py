@@ -176,7 +176,7 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
     characters in the mean. ``labels`` must hold only
     the rows that may be learnt from; the prior is the share of toxic ones
     among them, but no less than LEAST_PRIOR and no more than MOST_PRIOR. Rows with a null id or mark are left out. Tasks make the feature
-    sets; only these come to the driver."""
+    sets and one of them fits on the sample's; only the model comes to the driver."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     share = marks.agg(F.avg("toxic")).first()[0]
     prior = min(MOST_PRIOR, max(LEAST_PRIOR, share or 0.0))
@@ -184,20 +184,26 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> PuModel:
     toxic = sampled(sizes.join(small(marks.where("toxic = 1").select("doc_id").distinct()), "doc_id", "left_semi"), SAMPLE_POSITIVE)
     other = sampled(sizes.where(bucket(F.col("doc_id"), 5) != 0), SAMPLE_UNLABELLED)
     sample = toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def sets(batches):
         for batch in batches:
             found = pa.array([x.tobytes() for x in feature_sets(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), found], names=["positive", "features"])
-
-    rows = texts.select("positive", "text").mapInArrow(tk.tidy(sets), "positive boolean, features binary").toArrow()
-    kinds = np.array(rows.column("positive").to_pylist(), dtype=bool)
-    found = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("features")]
-    model = fit_nnpu([x for x, k in zip(found, kinds, strict=True) if k], [x for x, k in zip(found, kinds, strict=True) if not k], prior)
-    del rows, found
-    tk.release()
-    return model
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), found], names=["doc_id", "positive", "features"])
+
+    def fit(batches):
+        found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        for batch in batches:
+            for kind, x in zip(batch.column("positive").to_pylist(), batch.column("features"), strict=True):
+                found[kind].append(np.frombuffer(x.as_buffer(), np.uint64))
+        model = fit_nnpu(found[True], found[False], prior)
+        yield pa.RecordBatch.from_pydict({"features": [model.features.tobytes()], "weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    rows = texts.select("doc_id", "positive", "text").mapInArrow(tk.tidy(sets), "doc_id long, positive boolean, features binary")
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id", "positive", "features").mapInArrow(tk.tidy(fit), "features binary, weights binary, bias double").first()
+    if fitted is None:
+        return fit_nnpu([], [], prior)
+    return PuModel(np.frombuffer(fitted.features, np.uint64), np.frombuffer(fitted.weights, np.float32), fitted.bias, prior)
 
 
 class Scorer:

@@ -1,5 +1,6 @@
 """Classifiers and language models: held-out accuracy and defined cases."""
 
+import os
 import random
 
 import numpy as np
@@ -105,6 +106,23 @@ def test_toxicity_ties_repeats_and_null_ids(spark):
     assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got if r.doc_id is not None)
 
 
+def test_toxicity_is_fitted_in_a_task_in_any_order_of_rows(spark, monkeypatch):
+    many = [f"{w}{chr(97 + k % 26)}" for w in EN for k in range(26)]
+    rows = [(i, " ".join(many[(i * 37 + j * j) % len(many)] for j in range(40)) + (" nastyword" if i % 4 == 0 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+
+    driver, fit = os.getpid(), toxicity.fit_nnpu
+
+    def elsewhere(*args):
+        assert os.getpid() != driver, "the sample came to the driver"
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit_nnpu", elsewhere)
+    one, other = (toxicity.fit_from_tables(x, labels) for x in (df.coalesce(1), df.orderBy(-df.doc_id).repartition(5)))
+    assert len(one.features) and one.features.tolist() == other.features.tolist() and one.weights.tolist() == other.weights.tolist() and one.bias == other.bias
+
+
 def test_risk_and_gradient_equal_brute_force():
     """Against sums over plain sets, and differences of the risk."""
     rng = np.random.default_rng(2)
