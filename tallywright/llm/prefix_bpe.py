@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 from array import array
 from bisect import bisect_left, bisect_right
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -37,7 +38,7 @@ from .wordpieces import DEFAULT, PATTERN
 
 #: What a worker remembers: verdicts on pairs, and encodings of short pieces.
 PAIRS, PIECES, PIECE_BYTES = 1 << 20, 1 << 19, 64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, DECODED_IDS = 1 << 20, 1 << 18
 
 
 class Vocabulary:
@@ -54,6 +55,8 @@ class Vocabulary:
         self.endings.make_automaton()
         self._fits: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, ...]] = {}
+        self._flat: tuple[np.ndarray, pa.Array] | None = None
+        self._child: np.ndarray | None = None
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -157,9 +160,153 @@ class Vocabulary:
         self.extend(last, piece)
         return self.read_out(last)
 
+    def _prepare(self) -> None:
+        """What the encoding of many pieces at once looks up, as arrays: the tree of
+        all beginnings of tokens, lengths, halves, and tokens by two that make them."""
+        inner = {b"": 0}
+        for token in self.ranks:
+            for k in range(1, len(token)):
+                inner.setdefault(token[:k], len(inner))
+        number = dict(inner)
+        for token in self.ranks:
+            number.setdefault(token, len(number))
+        self._child = np.full((len(inner), 256), -1, dtype=np.int32)
+        self._rank = np.full(len(number), -1, dtype=np.int32)
+        for name, node in number.items():
+            if name:
+                self._child[inner[name[:-1]], name[-1]] = node
+                self._rank[node] = self.ranks.get(name, -1)
+        self._length = np.zeros(self.stride, dtype=np.int32)
+        self._length[list(self.lengths)] = list(self.lengths.values())
+        #: -2 where not looked at yet, -1 where there is none.
+        self._left, self._right = np.full(self.stride, -2, dtype=np.int32), np.full(self.stride, -2, dtype=np.int32)
+        get, made = self.ranks.get, []
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                left, right = get(token[:k]), get(token[k:])
+                if left is not None and right is not None:
+                    made.append((left * self.stride + right, rank))
+        keys, ranks = np.array(sorted(made), dtype=np.int64).reshape(-1, 2).T
+        self._pairs, self._made = np.ascontiguousarray(keys), ranks.astype(np.int32)
+        self._slots, self._verdicts = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
+        del inner, number, made
+        tk.release()
+
+    def _judge(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """:meth:`_judged` of many pairs, all of which take their steps together."""
+        out, which = np.zeros(len(token), dtype=bool), np.arange(len(token))
+        alone = np.flatnonzero(before < 0)
+        out[alone] = [self.merged(self.tokens[t]) == [self.tokens[t]] for t in token[alone].tolist()]
+        which = which[before >= 0]
+        left, right, bound = before[which], token[which], np.full(len(which), self.stride)
+        while len(which):
+            key = left.astype(np.int64) * self.stride + right
+            at = np.searchsorted(self._pairs, key).clip(max=max(len(self._pairs) - 1, 0))
+            across = np.where(self._pairs[at] == key, self._made[at], self.stride) if len(self._pairs) else np.full(len(key), self.stride)
+            later = left > right
+            later ^= self._length[np.where(later, left, right)] == 1
+            split = np.where(later, left, right)
+            crossed, single = across < bound, self._length[split] == 1
+            out[which[~crossed & single]] = True
+            go = ~crossed & ~single
+            for t in np.unique(split[go & (self._left[split] == -2)]).tolist():
+                self._left[t], self._right[t] = self.halves(t) or (-1, -1)
+            for i in which[go & (self._left[split] == -1)].tolist():
+                out[i] = self._judged(int(before[i]), int(token[i]))
+            go &= self._left[split] >= 0
+            which, left, right, later, split = which[go], left[go], right[go], later[go], split[go]
+            bound = np.where(later, split, split + 1)
+            left, right = np.where(later, self._right[split], left), np.where(later, right, self._left[split])
+        return out
+
+    def _fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """:meth:`fits` of many pairs. Verdicts are kept in as many places as PAIRS, by a hash."""
+        key = (before.astype(np.int64) + 1) * self.stride + token
+        place = (tk.mix(key.view(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+        out = self._verdicts[place]
+        new = np.flatnonzero(self._slots[place] != key)
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = new[first]
+            verdict = self._judge(before[found], token[found])
+            out[new] = verdict[back]
+            self._slots[place[found]] = key[found]
+            self._verdicts[place[found]] = verdict
+            # A place that several of them take is left empty.
+            lost = found[self._slots[place[found]] != key[found]]
+            self._slots[place[lost]] = -1
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodings of many short pieces, end to end, and their sizes: the last
+        tokens of all prefixes of one length are found together."""
+        if self._child is None:
+            self._prepare()
+        n = len(pieces)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), dtype=np.int32, count=n)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        piece = np.repeat(np.arange(n), sizes)
+        at = np.flatnonzero(whole[piece] < 0)
+        room = (begins + sizes)[piece[at]] - at
+        # Tokens that begin at each byte, by the byte after them.
+        node, hits, size = np.zeros(len(at), dtype=np.int32), [], 0
+        while len(at):
+            node = self._child[node, data[at + size]]
+            size += 1
+            rank = self._rank[node]
+            near = np.flatnonzero((node >= 0) & (rank >= 0))
+            hits.append((at[near], np.full(len(near), size), rank[near]))
+            going = (node >= 0) & (node < len(self._child)) & (room > size)
+            at, node, room = at[going], node[going], room[going]
+        last = np.full(len(data) + 1, -1, dtype=np.int32)  # of the prefix that ends at each byte; behind all: none
+        if hits:
+            start, size, rank = (np.concatenate(x) for x in zip(*hits, strict=True))
+            end = start + size - 1
+            place = end - begins[piece[end]]
+            order = np.argsort(place.astype(np.int16), kind="stable")
+            start, end, rank, first = start[order], end[order], rank[order], (start == begins[piece[start]])[order]
+            bounds = np.cumsum(np.bincount(place))
+            for a, b in zip([0, *bounds[:-1]], bounds, strict=True):
+                before = last[np.where(first[a:b], len(data), start[a:b] - 1)]
+                fits = self._fit(before, rank[a:b])
+                last[end[a:b][fits]] = rank[a:b][fits]
+        # Read out from the ends back.
+        alone = np.flatnonzero(whole >= 0)
+        which = np.flatnonzero(whole < 0)
+        found, at = [(alone, np.zeros(len(alone), np.int64), whole[alone])], (begins + sizes)[which]
+        while len(which):
+            rank = last[at - 1]
+            found.append((which, at, rank))
+            at = at - self._length[rank]
+            more = at > begins[which]
+            which, at = which[more], at[more]
+        which, at, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+        return rank[np.lexsort((at, which))], np.bincount(which, minlength=n)
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids: tokens laid end to end, cut where lists end."""
+        if self._flat is None:
+            ranks = sorted(self.tokens)
+            self._flat = np.array(ranks, dtype=np.int32), pa.array([self.tokens[r] for r in ranks], pa.large_binary())
+        ranks, tokens = self._flat
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        flat, out = lists.flatten(), [pa.array([], pa.binary())]
+        for lo, hi in tk.chunks(bounds, DECODED_IDS):
+            ids = flat.slice(bounds[lo], bounds[hi] - bounds[lo]).to_numpy(zero_copy_only=False)
+            place = np.searchsorted(ranks, ids).clip(max=len(ranks) - 1)
+            if (ranks[place] != ids).any():
+                raise KeyError(ids[ranks[place] != ids][0])
+            found = tokens.take(pa.array(place))
+            _, offsets, data = found.buffers()
+            at = np.frombuffer(offsets, np.int64)[bounds[lo : hi + 1] - bounds[lo]] if len(ids) else np.zeros(hi - lo + 1, np.int64)
+            out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at), data]).cast(pa.binary()))
+        return pa.concat_arrays(out)
+
 
 class Document:
     """A text with its pieces and their tables, kept up to date by edits.
@@ -240,37 +387,56 @@ class Document:
         return [rank] if rank is not None else self.vocabulary.read_out(last)
 
 
-class Pieces(dict):
-    """Encodings of pieces by their text; long ones aren't kept."""
+class Pieces:
+    """Encodings of pieces by their text. Short ones are kept, under numbers: the
+    ids of piece k are ``flat[begins[k] : begins[k + 1]]``."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.begins = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = tuple(self.vocabulary.encode_piece(raw))
-        if len(raw) <= PIECE_BYTES:
-            self[piece] = ids
-        return ids
+    def __len__(self) -> int:
+        return len(self.number)
 
+    def __getitem__(self, piece: str) -> list[int]:
+        k = self.number.get(piece)
+        return self.vocabulary.encode_piece(piece.encode()) if k is None else self.flat[self.begins[k] : self.begins[k + 1]].tolist()
 
-    def learn(self, pieces: Iterator[str]) -> None:
-        """Encode the short ones of ``pieces`` that aren't known, in order, so that
-        each goes on from the prefix that it shares with the one before."""
-        last, before = array("i"), b""
-        for piece in sorted(set(pieces).difference(self)):
+    def learn(self, pieces: Iterable[str]) -> list[str]:
+        """Encode the short ones of ``pieces`` that aren't known, all at once.
+        Returns the long ones."""
+        new, long, raws = [], [], []
+        for piece in set(pieces).difference(self.number):
             raw = piece.encode()
             if len(raw) > PIECE_BYTES:
-                continue
-            rank = self.vocabulary.ranks.get(raw)
-            if rank is not None:
-                self[piece] = (rank,)
-                continue
-            shared = next((i for i, (a, b) in enumerate(zip(before, raw, strict=False)) if a != b), min(len(before), len(raw)))
-            del last[shared:]
-            self.vocabulary.extend(last, raw)
-            self[piece], before = tuple(self.vocabulary.read_out(last)), raw
+                long.append(piece)
+            else:
+                new.append(piece)
+                raws.append(raw)
+        self.number.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        flat, sizes = self.vocabulary.encode_pieces(raws)
+        self.flat, self.begins = np.concatenate((self.flat, flat)), np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
+        return long
+
+    def lists(self, found: list[list[str]]) -> pa.ListArray:
+        """The ids of each text, whose pieces are given."""
+        pieces = list(chain.from_iterable(found))
+        long = self.learn(pieces)
+        flat, begins, number = self.flat, self.begins, self.number.__getitem__
+        if long:
+            ids = [np.array(self.vocabulary.encode_piece(piece.encode()), dtype=np.int32) for piece in long]
+            flat, begins = np.concatenate((flat, *ids)), np.concatenate((begins, begins[-1] + np.cumsum([len(x) for x in ids])))
+            number = ChainMap(self.number, dict(zip(long, range(len(self), len(self) + len(long)), strict=True))).__getitem__
+        at = np.fromiter(map(number, pieces), np.int64, len(pieces))
+        sizes = (begins[1:] - begins[:-1])[at]
+        until = np.concatenate(([0], np.cumsum(sizes)))
+        ids = flat[np.arange(until[-1]) + np.repeat(begins[at] - until[:-1], sizes)]
+        texts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        return pa.ListArray.from_arrays(pa.array(until[texts].astype(np.int32)), pa.array(ids))
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -317,9 +483,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             texts = pc.fill_null(batch.column(1), "")
             _, offsets = tk.buffers(texts)
             for lo, hi in tk.chunks(offsets, CHUNK_BYTES):
-                found = [find(t.as_py()) for t in texts.slice(lo, hi - lo)]
-                words.learn(chain.from_iterable(found))
-                ids = _lists(chain.from_iterable(map(words.__getitem__, pieces)) for pieces in found)
+                ids = words.lists([find(t.as_py()) for t in texts.slice(lo, hi - lo)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
                 if len(words) > PIECES:
                     words.clear()
@@ -335,12 +499,9 @@ def decoded(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> D
     kept, at = [f.name for f in fields], [f.name for f in fields].index(ids_col)
 
     def run(batches):
-        decode = vocabulary(path).decode
+        words = vocabulary(path)
         for batch in batches:
-            ids = batch.column(at)
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
-            out = pa.array([decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*kept, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, words.decode_lists(batch.column(at))], names=[*kept, "decoded"])
 
     return rows.select(*kept).mapInArrow(run, schema)
 

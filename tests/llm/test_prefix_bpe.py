@@ -157,3 +157,43 @@ def test_pieces_are_kept_between_tasks(spark):
     first, second = (prefix_bpe.encoded(one).orderBy("doc_id").collect() for _ in range(2))
     assert first == second and [r.ids for r in first] == [prefix_bpe.Document(prefix_bpe.vocabulary(), t).ids() for t in ("kept between tasks", " kept  between 12 tasks")]
     assert max(r.n for r in spark.range(0, 64, 1, 16).select(kept("id").alias("n")).collect()) >= 4
+
+
+def test_many_pieces_at_once_equal_library(vocabulary, library, monkeypatch):
+    """New pieces are encoded together, none in a loop of its own; verdicts on pairs may be thrown out at any time."""
+    some = list(dict.fromkeys(p for t in texts(8, 600) for p in prefix_bpe.regex.findall(PATTERN, t) if len(p.encode()) <= prefix_bpe.PIECE_BYTES))
+    want = [library.encode_ordinary(p) for p in some]
+    words = prefix_bpe.Pieces(vocabulary)
+
+    def alone(*args):
+        raise AssertionError("a piece was encoded by itself")
+
+    with monkeypatch.context() as m:
+        m.setattr(prefix_bpe.Vocabulary, "extend", alone)
+        assert words.lists([some[:7], [], some[7:]]).flatten().to_pylist() == [i for x in want for i in x] and words.lists([some]).to_pylist() == [[i for x in want for i in x]]
+        m.setattr(prefix_bpe, "PAIRS", 4)
+        few = prefix_bpe.Vocabulary(vocabulary.ranks)
+        assert few.encode_pieces([p.encode() for p in some])[0].tolist() == [i for x in want for i in x]
+    assert [words[p] for p in some] == want and len(words) == len(some)
+    assert words.lists([["w" * 99, "a"], [" " * 80]]).to_pylist() == [library.encode_ordinary("w" * 99) + library.encode_ordinary("a"), library.encode_ordinary(" " * 80)]
+
+
+def test_odd_vocabularies_encode_by_definition():
+    """Tokens that no two tokens make, and ranks that don't grow with their parts."""
+    draw = random.Random(4)
+    for _ in range(60):
+        more = list({bytes(draw.choices(b"abc", k=draw.randint(2, 4))) for _ in range(12)})
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(more)}
+        small = prefix_bpe.Vocabulary(ranks)
+        pairs = [(x, y) for x in [97, 98, 99, *range(256, 256 + len(more))] for y in [97, 98, 99, *range(256, 256 + len(more))]]
+        small._prepare()
+        before, token = (prefix_bpe.np.array(x, dtype=prefix_bpe.np.int32) for x in zip(*pairs, strict=True))
+        assert small._judge(before, token).tolist() == [small._judged(x, y) for x, y in pairs]
+
+
+def test_decoded_lists(vocabulary):
+    lists = prefix_bpe.pa.array([[], [0, 500], None, [50255, 1]], prefix_bpe.pa.list_(prefix_bpe.pa.int32()))
+    assert vocabulary.decode_lists(lists).to_pylist() == [vocabulary.decode(x or []) for x in lists.to_pylist()]
+    assert vocabulary.decode_lists(lists[1:3]).to_pylist() == [vocabulary.decode([0, 500]), b""] and vocabulary.decode_lists(lists[:1]).to_pylist() == [b""]
+    with pytest.raises(KeyError):
+        vocabulary.decode_lists(prefix_bpe.pa.array([[-1]], lists.type))
