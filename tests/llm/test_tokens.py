@@ -89,6 +89,40 @@ def test_segmentations_table(spark):
     assert sentencepieces.segmentations(df.limit(0)).count() == 0
 
 
+def test_units_of_earlier_chunks_are_not_made_again(monkeypatch):
+    model, made = sentencepieces.PieceModel(sentencepieces.DEFAULT), []
+    encode = model.encode_units
+    monkeypatch.setattr(model, "encode_units", lambda units: made.extend(units) or encode(units))
+    keys = np.arange(2, dtype=np.uint64)
+    first = sentencepieces.segment_chunk(model, ["one two three\n", "two one"], keys, 2)
+    assert sorted(made) == ["\n", "one", "three", "two"]
+    made.clear()
+    again = sentencepieces.segment_chunk(model, ["one two three\n", "two one four"], keys, 2)
+    assert made == ["four"] and [(x[0].tolist(), *x[1:]) for x in again[0]] == [(x[0].tolist(), *x[1:]) for x in first[0]]
+
+
+def test_results_do_not_depend_on_the_units_kept(monkeypatch):
+    """The same with units taken in anew, kept, and thinned out before each chunk."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeinorst\u00e9\u65e5", k=rng.randint(1, 9))) for _ in range(300)]
+    chunks = [[*HARD, *(" ".join(rng.choices(words[: 30 * (c + 1)], k=80)) for _ in range(6))] for c in range(8)]
+
+    def found(renew):
+        model, out = sentencepieces.PieceModel(sentencepieces.DEFAULT), []
+        for c, texts in enumerate(chunks):
+            if renew:
+                model.known.clear()
+            for own in sentencepieces.segment_chunk(model, texts, np.arange(len(texts), dtype=np.uint64) + np.uint64(100 * c), 3):
+                out += [(x[0].tolist(), *x[1:]) for x in own]
+        return out, len(model.known[True].place)
+
+    want, _ = found(True)
+    kept, everything = found(False)
+    monkeypatch.setattr(sentencepieces, "KEPT_STATES", 1000)
+    thinned, some = found(False)
+    assert want == kept == thinned and some < everything
+
+
 # Packing
 
 
