@@ -4,7 +4,7 @@ Encoding gives the ids of the SentencePiece library. No piece has a space after
 another character, and none has a line feed, so a text's ids are those of its
 units in turn: a run of spaces and what follows, or a line feed and what
 follows. Each distinct unit of a chunk is encoded once, and units of earlier
-chunks of a worker stay known, with their lattices, up to a number of states.
+chunks of a task stay known, with their lattices, up to a number of states.
 
 Sampling draws distinct segmentations of a whole text from the lattice of all
 its segmentations into pieces. A piece weighs as a unigram whose probability
@@ -36,8 +36,8 @@ from .runtime import table
 
 DEFAULT = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, CHUNK_BYTES = 2, 1 << 19
-#: Of the units that a worker keeps; a state and its arcs take about 60 bytes.
-KEPT_STATES = 1 << 21
+#: Of the units that a task keeps; a state and its arcs take about 60 bytes.
+KEPT_STATES = 1 << 19
 #: Siblings whose log-probability is below this can't be reached: a Gumbel of such height has a chance of about e**-40.
 DEEPEST = -40.0
 SPACE = "▁"
@@ -593,22 +593,25 @@ def segmentations(docs: DataFrame, samples: int = SAMPLES, model_path: str | Non
     def run(batches):
         model = piece_model(model_path)
         width = "<u2" if len(model.pieces) <= 1 << 16 else "<i4"
-        for batch in batches:
-            ids, column = batch.column("doc_id"), batch.column("_text")
-            keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            _, offsets = tk.buffers(column)
-            for lo, hi in tk.chunks(offsets, CHUNK_BYTES):
-                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
-                rows: list[tuple] = []
-                parts = segment_chunk(model, texts, keys[lo:hi], samples)
-                back = iter(model.decode_all([x[0] for found in parts for x in found]))
-                for i, found in enumerate(parts):
-                    raw, own = texts[i].encode(), ids[lo + i].as_py()
-                    rows += [(own, s, len(x), x.astype(width).tobytes(), a, b, c, next(back) == raw) for s, (x, a, b, c) in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
-                del rows, parts, back
-                if offsets[hi] - offsets[lo] > CHUNK_BYTES:  # one long text
-                    tk.release()
+        try:
+            for batch in batches:
+                ids, column = batch.column("doc_id"), batch.column("_text")
+                keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                _, offsets = tk.buffers(column)
+                for lo, hi in tk.chunks(offsets, CHUNK_BYTES):
+                    texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                    rows: list[tuple] = []
+                    parts = segment_chunk(model, texts, keys[lo:hi], samples)
+                    back = iter(model.decode_all([x[0] for found in parts for x in found]))
+                    for i, found in enumerate(parts):
+                        raw, own = texts[i].encode(), ids[lo + i].as_py()
+                        rows += [(own, s, len(x), x.astype(width).tobytes(), a, b, c, next(back) == raw) for s, (x, a, b, c) in enumerate(found)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+                    del rows, parts, back
+                    if offsets[hi] - offsets[lo] > CHUNK_BYTES:  # one long text
+                        tk.release()
+        finally:  # the worker may go on to other work
+            model.known.clear()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
     return source.mapInArrow(tk.tidy(run), "doc_id long, sample int, n_pieces int, ids binary, log_prob double, perturbed double, log_inclusion double, restored boolean")
