@@ -1,31 +1,33 @@
 """Operator 12: phrases that stick together, found in two passes over the texts.
 
-1. Sketch: every task counts the n-grams of its texts (1 to ``LONGEST`` words, by
-   language) in a count-min sketch of fixed size; sketches are merged cell by
-   cell. A cell holds at least the count of each n-gram that falls into it, so an
-   n-gram with a cell below ``least`` can't be frequent.
-2. Exact counts: the texts are read again, and only n-grams whose cells all reach
-   ``least`` are counted, by their words, with Spark's aggregate. Those that turn
-   out to be rarer are dropped, so nothing frequent is lost and no count is an
-   estimate.
+1. Cells: every n-gram (1 to ``LONGEST`` words, by language) falls into one of
+   ``cells`` numbered cells by its hash. They are far more than the n-grams, and no
+   task holds them: tasks send the numbers of their n-grams' cells in order, in
+   parts of equal ranges of numbers, and a part is merged at a time. An n-gram whose
+   cell is met fewer than ``least`` times can't be frequent.
+2. Exact counts: the texts are read again, and only n-grams whose cells are met
+   ``least`` times, and those of all shorter n-grams inside them, are counted,
+   by their words, with Spark's aggregate. Those that turn out to be rarer are dropped,
+   so nothing frequent is lost and no count is an estimate.
 
 Scores, the least cut of a phrase, and phrases inside longer ones follow by joins.
 
-Cells are one or two bytes and stop at ``least``: a sum of values that stop there
-reaches it if and only if the sum of the values does. The size of the sketch
-(``cells`` in each of ``ROWS`` rows) is a parameter. With many more distinct n-grams than
-cells fewer are ruled out and the second pass counts more of them; results are
-the same.
+A task sends a number at most ``least`` times from each run of numbers that it sorts:
+that many are enough. What the second pass is told grows with the frequent phrases, not
+with the cells: numbers are cut to their first bits, some 8 to 16 cells for each cell that
+is left. With more distinct n-grams than cells fewer are ruled out and the second pass counts
+more of them; results are the same.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,11 @@ from .runtime import cut, partitions, table
 LONGEST = 4
 LEAST = 30
 TOP = 2000
-ROWS = 2
-CELLS = 1 << 24
-BLOCK = 1 << 18
+CELLS = 1 << 36
+#: Fewest cells; most cells that the second pass is told of, a bit for each.
+FEWEST, MOST = 1 << 17, 1 << 30
+#: Cell numbers that a task sorts and sends at once.
+RUN = 1 << 22
 #: Text bytes that a task counts at once; a longer text is counted in pieces.
 CHUNK_BYTES = 4 << 20
 #: Most words and languages that a task remembers; then it begins anew.
@@ -113,24 +117,35 @@ class Chunk:
     def __init__(self, ids: np.ndarray, langs: np.ndarray, known: int):
         self.ids, self.langs, self.known = ids, langs, known
 
-    def grams(self, longest: int, words: Numbers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(n, first place, count) of the distinct n-grams of each language. Codes
-        are dense ranks of (code of the first n-1 words, last word): exact."""
-        ids, size = self.ids, len(words.names)
-        starts = np.flatnonzero(ids)
-        code = self.langs[starts] * size + ids[starts]
+    def places(self, longest: int, alive: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, places where an n-gram begins). Where ``alive`` says no to an n-gram,
+        it and longer ones that hold it are left out."""
+        starts = np.flatnonzero(self.ids)
         for n in range(1, longest + 1):
             if n > 1:  # starts that have one more word in their piece
-                more = starts + n - 1 < len(ids)
-                more[more] = ids[starts[more] + n - 1] != 0
-                starts, code = starts[more], code[more]
-                code = code * size + ids[starts + n - 1]
+                more = starts + n - 1 < len(self.ids)
+                more[more] = self.ids[starts[more] + n - 1] != 0
+                if alive is not None:
+                    more[more] = kept[starts[more] + 1]  # noqa: F821
+                starts = starts[more]
+            if alive is not None:
+                starts = starts[alive(n, starts)]
+                kept = np.zeros(len(self.ids), dtype=bool)
+                kept[starts] = True
             if not len(starts):
                 return
-            first, counts, code = grouped(code)
+            yield n, starts
+
+    def grams(self, longest: int, words: Numbers, alive: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, first place, count) of the distinct n-grams of each language. Codes
+        are dense ranks of (code of the first n-1 words, last word): exact."""
+        code = self.langs.copy()
+        for n, starts in self.places(longest, alive):
+            first, counts, rank = grouped(code[starts] * len(words.names) + self.ids[starts + n - 1])
+            code[starts] = rank
             old = starts + n - 1 < self.known
             if old[0]:
-                counts = counts - np.bincount(code[old], minlength=len(counts))
+                counts = counts - np.bincount(rank[old], minlength=len(counts))
             yield n, starts[first], counts
 
 
@@ -176,23 +191,81 @@ def word_chunks(batches, words: Numbers, languages: Numbers, chunk_bytes: int =
         yield chunk(0)
 
 
-def cell_hashes(places: np.ndarray, n: int, chunk: Chunk, words: Numbers, languages: Numbers) -> np.ndarray:
-    """64-bit hash of the n-gram at each place, by its words and language."""
-    word_hash, lang_hash = np.frombuffer(words.hashes, dtype=np.uint64).copy(), np.frombuffer(languages.hashes, dtype=np.uint64).copy()
-    value = lang_hash[chunk.langs[places]] * _SEEDS[3] + np.uint64(n)
-    for i in range(n):
-        value = tk.mix((value ^ word_hash[chunk.ids[places + i]]) * _SEEDS[0])
-    return value
-
-
-def cell_numbers(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
-    return [(tk.mix(hashes ^ _SEEDS[1 + r]) & np.uint64(cells - 1)).astype(np.int64) for r in range(ROWS)]
-
-
-def _cell_type(least: int) -> np.dtype:
-    return np.dtype(np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32)
-
-
+class Cells:
+    """Cell of the n-gram at each place, by its words and language: the first ``bits``
+    bits of a hash that goes on from the n-gram one word shorter at that place, so
+    lengths are asked for one after another."""
+
+    def __init__(self, chunk: Chunk, words: Numbers, languages: Numbers, bits: int):
+        self.word = np.array(words.hashes, dtype=np.uint64)[chunk.ids]
+        self.value = np.array(languages.hashes, dtype=np.uint64)[chunk.langs] * _SEEDS[3]
+        self.shift = np.uint64(64 - bits)
+
+    def __call__(self, n: int, places: np.ndarray) -> np.ndarray:
+        value = tk.mix((self.value[places] ^ self.word[places + n - 1]) * _SEEDS[0])
+        self.value[places] = value
+        return value >> self.shift
+
+
+def parts_of(cells: int, tasks: int) -> int:
+    """Into how many parts of equal ranges cells are dealt: two or more for each task,
+    none of over 2^32 cells."""
+    bits = cells.bit_length() - 1
+    return 1 << max(bits - 32, min((2 * tasks - 1).bit_length(), 14, bits - 16))
+
+
+def packed(numbers: np.ndarray, cells: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first cell of a part, groups, bytes) of sorted cell numbers. Of many numbers
+    the last 16 bits are kept, and before them how many each group of 2^16 cells
+    has; of few (0 groups) 32 bits, from the part's first cell."""
+    width = cells // parts
+    bounds = np.searchsorted(numbers, np.arange(parts + 1, dtype=np.uint64) * np.uint64(width))
+    groups, sizes = width >> 16, None
+    if len(numbers) > 2 * parts * groups:
+        sizes = np.bincount((numbers >> np.uint64(16)).astype(np.int64), minlength=parts * groups)
+        if sizes.max() >= 1 << 16:
+            sizes = None
+    for part in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        some = numbers[bounds[part] : bounds[part + 1]]
+        if sizes is None:
+            yield part * width, 0, (some - np.uint64(part * width)).astype(np.uint32).tobytes()
+        else:
+            yield part * width, groups, sizes[part * groups : (part + 1) * groups].astype(np.uint16).tobytes() + some.astype(np.uint16).tobytes()
+
+
+def unpacked(groups: int, data: pa.Buffer) -> np.ndarray:
+    """Cell numbers from the part's first cell."""
+    if not groups:
+        return np.frombuffer(data, dtype=np.uint32)
+    halves = np.frombuffer(data, dtype=np.uint16)
+    return np.repeat(np.arange(groups, dtype=np.uint32) << np.uint32(16), halves[:groups]) | halves[groups:]
+
+
+def packed_set(numbers: np.ndarray) -> bytes:
+    """Distinct cell numbers in order, as differences."""
+    steps = np.diff(numbers, prepend=np.zeros(1, numbers.dtype))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if steps[1:].max(initial=0) <= np.iinfo(k).max)
+    return zlib.compress(bytes([np.dtype(kind).itemsize]) + int(steps[0]).to_bytes(8, "little") + steps[1:].astype(kind).tobytes(), 1)
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    steps = np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=9)
+    return np.cumsum(np.append(np.uint64(int.from_bytes(raw[1:9], "little")), steps.astype(np.uint64)), dtype=np.uint64)
+
+
+def bitmap(sets: Iterator[bytes], cells: int) -> np.ndarray:
+    """A bit for each of ``cells``, set where a set has its number."""
+    bits = np.zeros(cells // 8, dtype=np.uint8)
+    for data in sets:
+        numbers = unpacked_set(data)
+        byte = (numbers >> np.uint64(3)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+        bits[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (numbers & np.uint64(7)).astype(np.uint8), first)
+    return bits
+
+
+# The next two work on cells held in memory; only a test of counting that stops uses them now.
 def _count(cells: np.ndarray, at: np.ndarray, counts: np.ndarray, least: int) -> None:
     """cells[at] += counts, stopping at ``least``; places may repeat."""
     if not len(at):
@@ -216,78 +289,120 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, text_col: str, lang_col: str, least: int, cells: int) -> DataFrame:
-    """(block, cells) of each task's sketch, blocks without a count left out, and
-    (-1 - k, language and words): how many words of a language the task saw."""
-    kind = _cell_type(least)
+    """(block, groups, cells) as ``packed``, block being a part's first cell: the cells
+    of all n-grams, each as often as it is met but at most ``least`` times a run. And
+    (-1 - k, 0, language, words): how many words of a language the task saw."""
+    parts, bits, most = parts_of(cells, partitions(docs.sparkSession)), cells.bit_length() - 1, RUN
+    names = ["block", "groups", "cells", "words"]
+
+    def sent(numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        numbers.sort()
+        keep = np.ones(len(numbers), dtype=bool)
+        keep[least:] = numbers[least:] != numbers[:-least]
+        found = list(packed(numbers[keep], cells, parts))
+        if found:
+            block, groups, data = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(groups, pa.int64()), pa.array(data, pa.binary()), pa.array([0] * len(block), pa.int64())], names=names)
 
     def run(batches):
         words, languages, totals = Numbers(), Numbers(), {}
-        sketch = np.zeros((ROWS, cells), dtype=kind)
+        numbers, size = np.empty(most, dtype=np.uint64), 0
         for chunk in word_chunks(batches, words, languages):
-            for n, places, counts in chunk.grams(LONGEST, words):
-                keep = counts > 0
-                places, counts = places[keep], np.minimum(counts[keep], least)
-                if n == 1:
-                    for lang, count in zip(*np.unique(chunk.langs[chunk.known :][chunk.ids[chunk.known :] > 0], return_counts=True), strict=True):
-                        name = languages.names[lang]
-                        totals[name] = totals.get(name, 0) + int(count)
-                for r, at in enumerate(cell_numbers(cell_hashes(places, n, chunk, words, languages), cells)):
-                    _count(sketch[r], at, counts, least)
-        flat = sketch.reshape(-1)
-        for block in range(len(flat) // BLOCK):
-            part = flat[block * BLOCK : (block + 1) * BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), pa.array([0], pa.int64())], names=["block", "cells", "words"])
+            cell_of = Cells(chunk, words, languages, bits)
+            for n, places in chunk.places(LONGEST):
+                new = cell_of(n, places)[np.searchsorted(places, chunk.known - n + 1) :]
+                while len(new):
+                    some, new = new[: most - size], new[most - size :]
+                    numbers[size : size + len(some)] = some
+                    size += len(some)
+                    if size == most:
+                        yield from sent(numbers)
+                        size = 0
+            for lang, count in zip(*np.unique(chunk.langs[chunk.known :][chunk.ids[chunk.known :] > 0], return_counts=True), strict=True):
+                name = languages.names[lang]
+                totals[name] = totals.get(name, 0) + int(count)
+        yield from sent(numbers[:size])
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(totals), pa.int64()), pa.array(list(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], names=["block", "cells", "words"])
+            lots = [-1 - zlib.crc32(name) % LOTS for name in totals]
+            yield pa.RecordBatch.from_arrays([pa.array(lots, pa.int64()), pa.array([0] * len(lots), pa.int64()), pa.array(list(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], names=names)
 
-    return _texts(docs, text_col, lang_col).mapInArrow(tk.tidy(run), "block long, cells binary, words long")
+    return _texts(docs, text_col, lang_col).mapInArrow(tk.tidy(run), "block long, groups long, cells binary, words long")
 
 
 def merged(parts: DataFrame, least: int, tasks: int) -> DataFrame:
-    """(block, reached): for each block a bit per cell, whether the sum of all
-    sketches reaches ``least``. Blocks are dealt over ``tasks``; a task adds one
-    sketch after another and holds only its own blocks."""
-    kind = _cell_type(least)
+    """(block, reached, size, words): for each part the set of cells that are met
+    ``least`` times or more, with its size; the words of languages as they are. Parts
+    are dealt over ``tasks``; a task holds the numbers of one part at a time."""
+    names = ["block", "reached", "size", "words"]
+
+    def row(block: int, data: bytes, size: int, words: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([size], pa.int64()), pa.array([words], pa.int64())], names=names)
+
+    def frequent(block: int, runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        numbers = np.concatenate(runs)
+        numbers.sort()
+        often = numbers[least - 1 :][numbers[least - 1 :] == numbers[: max(0, len(numbers) - least + 1)]]
+        if len(often):
+            often = often[np.append(True, often[1:] != often[:-1])]
+            yield row(block, packed_set(often.astype(np.uint64) + np.uint64(block)), len(often), 0)
 
     def run(batches):
-        blocks: dict[int, np.ndarray] = {}
+        block, runs = -1, []
         for batch in batches:
-            for number, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(zlib.decompress(cells.as_buffer()), dtype=kind)
-                if number in blocks:
-                    _add(blocks[number], part, least)
-                else:
-                    blocks[number] = part.copy()
-        for number, part in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([zlib.compress(np.packbits(part >= least).tobytes(), 1)], pa.binary())], names=["block", "reached"])
+            for number, groups, data, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if number < 0:
+                    yield row(number, data.as_py(), 0, words)
+                    continue
+                if number != block and runs:
+                    yield from frequent(block, runs)
+                    runs = []
+                block = number
+                runs.append(unpacked(groups, data.as_buffer()))
+        if runs:
+            yield from frequent(block, runs)
+
+    dealt = parts.repartition(tasks, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(tk.tidy(run), "block long, reached binary, size long, words long")
+
+
+def coarser(found: DataFrame, cells: int, told: int) -> DataFrame:
+    """(block, reached) of ``merged`` with numbers of ``told`` cells instead of ``cells``."""
+    less = np.uint64((cells // told).bit_length() - 1)
 
-    dealt = parts.where("block >= 0").select("block", "cells").repartition(tasks, "block")
-    return dealt.mapInArrow(tk.tidy(run), "block long, reached binary")
+    def run(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                numbers = unpacked_set(data.as_buffer()) >> less
+                numbers = numbers[np.append(True, numbers[1:] != numbers[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array([block >> int(less)], pa.int64()), pa.array([packed_set(numbers)], pa.binary())], names=["block", "reached"])
+
+    return found.where("block >= 0").select("block", "reached").mapInArrow(tk.tidy(run), "block long, reached binary")
 
 
 def survivors(docs: DataFrame, text_col: str, lang_col: str, reached, cells: int) -> DataFrame:
-    """(lang, phrase, f) of the n-grams of each chunk whose cells all
-    reach the threshold. ``reached`` is a broadcast of the merged bits."""
+    """(lang, phrase, f) of the n-grams of each chunk whose cells, and those of the
+    n-grams inside them, are all in ``reached``: a broadcast of sets of numbers of
+    ``cells`` cells."""
 
     def run(batches):
         words, languages = Numbers(), Numbers()
-        bits = np.zeros((ROWS, cells // 8), dtype=np.uint8).reshape(-1)
-        for block, packed in reached.value:
-            bits[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
-        bits = bits.reshape(ROWS, -1)
+        bits = bitmap((data for block, data in reached.value if block >= 0), cells)
         for chunk in word_chunks(batches, words, languages):
-            for n, places, counts in chunk.grams(LONGEST, words):
-                alive = counts > 0
-                for r, at in enumerate(cell_numbers(cell_hashes(places, n, chunk, words, languages), cells)):
-                    alive &= (bits[r, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                places, counts = places[alive], counts[alive]
+            cell_of = Cells(chunk, words, languages, cells.bit_length() - 1)
+
+            def alive(n: int, places: np.ndarray, cell_of=cell_of) -> np.ndarray:
+                cell = cell_of(n, places).astype(np.int64)
+                return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+            names = None
+            for n, places, counts in chunk.grams(LONGEST, words, alive):
+                places, counts = places[counts > 0], counts[counts > 0]
                 if not len(places):
                     continue
-                names = words.names
-                text = [b" ".join([names[i] for i in row]) for row in chunk.ids[places[:, None] + np.arange(n)].tolist()]
-                lang = pa.DictionaryArray.from_arrays(pa.array(chunk.langs[places]), pa.array(languages.names, pa.binary())).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([lang, pa.array(text, pa.binary()), pa.array(counts)], names=["lang", "phrase", "f"])
+                if names is None:
+                    names, langs = pa.array(words.names, pa.binary()), pa.array(languages.names, pa.binary())
+                text = pc.binary_join_element_wise(*(names.take(pa.array(chunk.ids[places + i])) for i in range(n)), pa.scalar(b" ", pa.binary()))
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(chunk.langs[places])), text, pa.array(counts)], names=["lang", "phrase", "f"])
 
     found = _texts(docs, text_col, lang_col).mapInArrow(tk.tidy(run), "lang binary, phrase binary, f long")
     return found.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f")
@@ -298,16 +413,17 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     4 words that occurs at least ``least`` times in its language, and all word
     occurrences of each language. Both are written to the checkpoint folder.
 
-    The bits of the merged sketch are the only thing that passes through the
-    driver: ``ROWS * cells`` bits whatever the size of the corpus."""
-    if cells & (cells - 1) or ROWS * cells % BLOCK:
-        raise ValueError(f"cells must be a power of two of at least {BLOCK // ROWS}")
+    The set of cells that are met often enough is the only thing that passes through
+    the driver: some 5 to 10 bits for each, as each has 8 to 16 cells, but ``MOST``
+    cells at most."""
+    if cells & (cells - 1) or not FEWEST <= cells <= 1 << 46:
+        raise ValueError(f"cells must be a power of two from {FEWEST} to 2^46")
     spark = docs.sparkSession
-    parts = cut(sketches(docs, text_col, lang_col, least, cells))
-    words = parts.where("block < 0").groupBy(F.col("cells").cast("string").alias("lang")).agg(F.sum("words").alias("n"))
-    tasks = max(1, min(partitions(spark), ROWS * cells // BLOCK))
-    reached = spark.sparkContext.broadcast([(r.block, bytes(r.reached)) for r in merged(parts, least, tasks).collect()])
-    exact = survivors(docs, text_col, lang_col, reached, cells).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = cut(merged(sketches(docs, text_col, lang_col, least, cells), least, partitions(spark)))
+    words = found.where("block < 0").groupBy(F.col("reached").cast("string").alias("lang")).agg(F.sum("words").alias("n"))
+    told = min(cells, MOST, max(FEWEST, 1 << (8 * (found.agg(F.sum("size")).first()[0] or 0)).bit_length()))
+    reached = spark.sparkContext.broadcast([(r.block, bytes(r.reached)) for r in coarser(found, cells, told).collect()])
+    exact = survivors(docs, text_col, lang_col, reached, told).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return cut(exact.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f")), words
 
 

@@ -145,3 +145,46 @@ def test_empty_table_and_bad_size(spark):
     assert co.collocations(table(spark, []), cells=SMALL).count() == 0
     with pytest.raises(ValueError):
         co.collocations(table(spark, []), cells=1000)
+
+
+def test_more_cells_than_a_task_can_hold(spark):
+    """Cells may outnumber the phrases of any corpus: a task holds only those it meets."""
+    rows = made(7)
+    got = co.collocations(table(spark, rows), least=3, cells=1 << 42).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 3, 2000)
+
+
+def test_default_cells_rule_out_rare_phrases_of_gigabytes():
+    """6 GB of Parquet hold some 1.6e9 words, so four times as many phrases: cells of only rare ones stay far below the threshold."""
+    assert 4 * 1.6e9 / co.CELLS < co.LEAST / 10
+
+
+def test_runs_that_end_within_a_text(spark, monkeypatch):
+    monkeypatch.setattr(co, "RUN", 7)
+    rows = made(8, 20)
+    got = co.collocations(table(spark, rows), least=2, cells=SMALL).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 2, 2000)
+
+
+@pytest.mark.parametrize(("size", "hot"), [(50, 0), (3000, 0), (3000, 70_000)])
+def test_cell_numbers_packed_and_unpacked(size, hot):
+    draw = np.random.default_rng(6)
+    numbers = np.sort(np.append(draw.integers(0, 1 << 24, size), np.full(hot, (1 << 24) - 1)).astype(np.uint64))
+    got = [co.unpacked(groups, pa.py_buffer(data)).astype(np.uint64) + np.uint64(first) for first, groups, data in co.packed(numbers, 1 << 24, 8)]
+    assert (np.concatenate(got) == numbers).all()
+    for some in (np.unique(numbers), numbers[:1], np.array([0, 1, 300, 1 << 17, 1 << 50, (1 << 50) + 1], np.uint64)):
+        assert (co.unpacked_set(co.packed_set(some)) == some).all()
+    bits = np.unpackbits(co.bitmap([co.packed_set(np.unique(numbers))], 1 << 24), bitorder="little")
+    assert (np.flatnonzero(bits) == np.unique(numbers)).all()
+
+
+def test_phrase_around_a_rare_one_is_not_counted(spark):
+    """Of cells that are told, "a b" is missing: "a b c" is left out though its own cell is there."""
+    df = spark.createDataFrame([("a b c",)] * 3, "text string").selectExpr("text", "'en' AS lang")
+    words, languages = co.Numbers(), co.Numbers()
+    (chunk,) = co.word_chunks([pa.record_batch([pa.array([b"a b c"]), pa.array(["en"])], names=["t", "l"])], words, languages)
+    cell_of = co.Cells(chunk, words, languages, 40)
+    cells = {n: cell_of(n, places) for n, places in chunk.places(3)}
+    told = np.sort(np.concatenate([cells[1], cells[2][1:], cells[3]]))
+    reached = spark.sparkContext.broadcast([(0, co.packed_set(told >> np.uint64(10)))])
+    assert {r.phrase for r in co.survivors(df, "text", "lang", reached, 1 << 30).collect()} == {"a", "b", "c", "b c"}
