@@ -414,11 +414,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     occurrences of each language. Both are written to the checkpoint folder.
 
     The set of cells that are met often enough is the only thing that passes through
-    the driver: some 5 to 10 bits for each, as each has 8 to 16 cells, but ``MOST``
-    cells at most."""
+    the driver, as packed differences: 8 to 16 cells for each, ``MOST`` at most."""
     if cells & (cells - 1) or not FEWEST <= cells <= 1 << 46:
         raise ValueError(f"cells must be a power of two from {FEWEST} to 2^46")
-    spark = docs.sparkSession
+    spark, least = docs.sparkSession, max(least, 1)  # what is counted occurs
     found = cut(merged(sketches(docs, text_col, lang_col, least, cells), least, partitions(spark)))
     words = found.where("block < 0").groupBy(F.col("reached").cast("string").alias("lang")).agg(F.sum("words").alias("n"))
     told = min(cells, MOST, max(FEWEST, 1 << (8 * (found.agg(F.sum("size")).first()[0] or 0)).bit_length()))

@@ -188,3 +188,9 @@ def test_phrase_around_a_rare_one_is_not_counted(spark):
     told = np.sort(np.concatenate([cells[1], cells[2][1:], cells[3]]))
     reached = spark.sparkContext.broadcast([(0, co.packed_set(told >> np.uint64(10)))])
     assert {r.phrase for r in co.survivors(df, "text", "lang", reached, 1 << 30).collect()} == {"a", "b", "c", "b c"}
+
+
+def test_threshold_of_none_is_that_of_one(spark):
+    rows = made(9, 5)
+    got = co.collocations(table(spark, rows), least=0, cells=SMALL).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 1, 2000)
